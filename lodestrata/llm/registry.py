@@ -3,14 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import exact_dedup, sharding
+from . import bpe, exact_dedup, packing, sharding
 from .common import documents
 
 QUERIES, ORACLES = {}, {}
 
 
+def word_tokenizer() -> str:
+    """Path of the tokenizer file that the queries use; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def _query(f):
     QUERIES[f.__name__] = lambda spark, sf_dir: f(ship(spark), sf_dir)
     return f
@@ -34,3 +42,14 @@ FROM n
 @_query
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(documents(spark, sf_dir))
+
+
+@_query
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode_decode(documents(spark, sf_dir), word_tokenizer())
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "utf-8"), 256).alias("decoded_sha256"))
+
+
+@_query
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), word_tokenizer())
