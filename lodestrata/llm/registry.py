@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import bpe, exact_dedup, packing, sharding
+from . import bpe, exact_dedup, langid, packing, sharding, toxicity
 from .common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -53,3 +53,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), word_tokenizer())
+
+
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    profiles = langid.learn(docs.filter(~langid.held_out()))
+    return langid.identify(docs, profiles).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+@_query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    grammar = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, grammar).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
