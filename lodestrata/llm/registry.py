@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import bpe, exact_dedup, langid, packing, sharding, toxicity
+from . import bpe, exact_dedup, langid, near_dedup, packing, sharding, toxicity
 from .common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -67,3 +67,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     grammar = toxicity.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.score(docs, grammar).select("doc_id", langid.held_out().alias("held_out"), "score", "predicted")
+
+
+@_query
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))

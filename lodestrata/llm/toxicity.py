@@ -209,7 +209,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     chi = n * F.pow(a * clean - b * toxic, 2) / (F.lit(float(toxic)) * clean * (a + b) * F.greatest(n - a - b, F.lit(1)))
     told = counts.filter((a >= max(SUPPORT, toxic // 100)) & (lift >= LIFT)).select("stem", lift.alias("lift"), chi.alias("chi")).filter(F.col("chi") >= CHI_SQUARE).collect()
     stems: dict[str, float] = {}
-    for r in sorted(told, key=lambda r: (-r["chi"], len(r["stem"]), r["stem"])):
+    for r in sorted(told, key=lambda r: (-r["chi"], -len(r["stem"]), r["stem"])):
         # the best of nested stems stands for them
         if not any(r["stem"].startswith(s) or s.startswith(r["stem"]) for s in stems):
             stems[r["stem"]] = round(r["lift"], 6)
