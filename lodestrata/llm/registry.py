@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import bpe, exact_dedup, langid, near_dedup, packing, sharding, toxicity
+from . import bpe, exact_dedup, langid, media, near_dedup, packing, sharding, token_counts, toxicity
 from .common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -72,3 +72,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
+
+
+@_query
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as flat files of byte-level BPE ids, and the counts that the separator scan finds in these."""
+    import public_tokenizers
+
+    separator = 50256  # free in this vocabulary
+    blocks, manifest = token_counts.write_flat(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, separator)
+    found = token_counts.separator_scan(blocks, separator)
+    return manifest.join(found, ["file", "ordinal"]).select(F.col("id").alias("doc_id"), "n_tokens", "file", "ordinal", "start")
+
+
+@_query
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(documents(spark, sf_dir))
