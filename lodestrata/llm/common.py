@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,3 +99,38 @@ class Bloom:
             p = (keys >> np.uint64(n)) & mask
             found &= (self.words[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) == 1
         return found
+
+
+#: Name of the column that tells rows apart.
+ROW = "row_"
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """The rows with a column ROW that is unique, never null and the same whenever the rows are read again.
+
+    Rows of files are told apart by file and place in it; others are written to the shared folder with a number.
+    """
+    try:
+        out = df.withColumn(ROW, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
+        return out
+    except AnalysisException:
+        return stored(df.withColumn(ROW, F.monotonically_increasing_id()))
+
+
+def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Numbered rows less those whose ROW is in `dropped`, and less the column ROW.
+
+    A Bloom filter of the dropped lets most rows pass as they are read; only those that it finds are shuffled to an anti-join.
+    """
+    found = Bloom.of(dropped.select(F.xxhash64(ROW).alias("hash")), "hash")
+    hashed = rows.withColumn("hash_", F.xxhash64(ROW))
+
+    def side(maybe: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(found.find(batch.column("hash_").to_numpy()) == maybe))
+
+        return hashed.mapInArrow(run, hashed.schema)
+
+    kept = side(False).unionByName(side(True).join(dropped, ROW, "left_anti"))
+    return kept.drop(ROW, "hash_")

@@ -149,6 +149,24 @@ def identify(df: DataFrame, profiles: Profiles, id_column: str = "doc_id", text_
     return df.select(*columns).mapInArrow(run, f"{shape}, lang_pred string, score double")
 
 
+def filter_rows(df: DataFrame, profiles: Profiles, text_column: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows whose text is in one of the profiles' languages, at a score of `least` or more; all columns, nothing shuffled.
+
+    Null texts and texts without a letter go. Without profiles nothing is known of languages, and only those go.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, text_column):
+            texts = part.column(text_column).to_pylist()
+            if profiles.languages:
+                keep = [lang != UNDETERMINED and score >= least for lang, score in zip(*profiles.predict(texts), strict=True)]
+            else:
+                keep = [any(map(str.isalpha, t or "")) for t in texts]
+            yield part.filter(pa.array(keep, pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def held_out(id_column: str = "doc_id"):
     """Whether a row is kept from training: crc32 of its id as text is divisible by 5; a null id is."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(True))

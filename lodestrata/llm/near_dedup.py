@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bloom, mix64, stored, text_slices
+from .common import ROW, Bloom, mix64, numbered, stored, text_slices, without
 from .components import components
 
 WORDS, SIMILARITY = 5, 0.8
@@ -117,12 +117,17 @@ def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarr
     return float((cx / sums[which]).sum())
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in text_slices(batches):
-        sets = weighted_shingles(part.column("text").to_pylist())
-        keys = band_keys(signatures([(e, w) for _, e, w in sets], BANDS * ROWS))
-        bands = [k.tolist() if len(e) else [] for k, (_, e, _) in zip(keys, sets, strict=True)]
-        yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([k for k, _, _ in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["id", "key", "bands"])
+def _features(carried: list[str]):
+    """For mapInArrow: the carried columns, the key of the words and the bands."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches):
+            sets = weighted_shingles(part.column("text").to_pylist())
+            keys = band_keys(signatures([(e, w) for _, e, w in sets], BANDS * ROWS))
+            bands = [k.tolist() if len(e) else [] for k, (_, e, _) in zip(keys, sets, strict=True)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carried), pa.array([k for k, _, _ in sets], pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=[*carried, "key", "bands"])
+
+    return run
 
 
 def _sets_of(wanted: Bloom):
@@ -193,17 +198,12 @@ def _links_between(least: float):
     return run
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
-    """One row per input row: the id, class_id (least id of its class), class_size, kept (true for one row of each class).
-
-    A class is a connected component of documents whose probability Jaccard similarity of five-word shingles is `least` or
-    more; documents with the same words, whatever their case and punctuation, are in one. A text without words (null, empty
-    or signs only) is a class of its own. Null ids come last, and of repeated ids exactly one row is kept. Other columns are
-    not read. An empty table gives an empty result.
-    """
-    docs = df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    kind = df.schema[id_column].dataType.simpleString()
-    rows = stored(docs.mapInArrow(_features, f"id {kind}, key binary, bands array<long>").withColumn("row", F.monotonically_increasing_id()))
+def _classes(docs: DataFrame, least: float, block: int) -> DataFrame:
+    """For columns id, text and perhaps row: id, row, class (null for a text without words), first, class_size."""
+    carried = [c for c in docs.columns if c != "text"]
+    shape = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in carried)
+    rows = docs.mapInArrow(_features(carried), f"{shape}, key binary, bands array<long>")
+    rows = stored(rows if "row" in carried else rows.withColumn("row", F.monotonically_increasing_id()))
     vertices = stored(rows.filter(F.size("bands") > 0).groupBy("key").agg(F.min("bands").alias("bands")).withColumn("v", F.monotonically_increasing_id()))
 
     inside = vertices.select("v", F.explode("bands").alias("bucket"))
@@ -239,11 +239,29 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str =
     named = stored(rows.select("id", "row", "key", F.size("bands").alias("n")).join(stored(classes), "key", "left").select("id", "row", F.col("class")))
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     least_of = named.filter(F.col("class").isNotNull()).groupBy("class").agg(F.min(order).alias("first"), F.count("*").alias("class_size"))
-    out = named.join(stored(least_of), "class", "left")
+    return named.join(stored(least_of), "class", "left")
+
+
+def near_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """One row per input row: the id, class_id (least id of its class), class_size, kept (true for one row of each class).
+
+    A class is a connected component of documents whose probability Jaccard similarity of five-word shingles is `least` or
+    more; documents with the same words, whatever their case and punctuation, are in one. A text without words (null, empty
+    or signs only) is a class of its own. Null ids come last, and of repeated ids exactly one row is kept. Other columns are
+    not read. An empty table gives an empty result.
+    """
+    found = _classes(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), least, block)
     alone = F.col("class").isNull()
-    return out.select(
+    return found.select(
         F.col("id").alias(id_column),
         F.when(alone, F.col("id")).otherwise(F.col("first.id")).alias("class_id"),
         F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"),
         (alone | (F.col("row") == F.col("first.row"))).alias("kept"),
     )
+
+
+def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", least: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """The rows that near_duplicates() keeps, with all their columns. Texts that stay are not shuffled."""
+    rows = numbered(df)
+    found = _classes(rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(ROW).alias("row")), least, block)
+    return without(rows, stored(found.filter(F.col("row") != F.col("first.row")).select(F.col("row").alias(ROW))))

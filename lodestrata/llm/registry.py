@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..ship import ship
-from . import bpe, exact_dedup, langid, media, near_dedup, packing, sharding, token_counts, toxicity
+from . import bpe, exact_dedup, html, langid, media, near_dedup, packing, sharding, token_counts, toxicity
 from .common import documents
 
 QUERIES, ORACLES = {}, {}
@@ -88,3 +88,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
+
+
+@_query
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "url", "text", "n_chars")

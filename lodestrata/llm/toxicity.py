@@ -267,3 +267,13 @@ def score(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_colum
 
     kind = df.schema[id_column].dataType.simpleString()
     return df.select(id_column, text_column).mapInArrow(run, f"`{id_column}` {kind}, score double, predicted int, clauses array<struct<start:int,end:int,weight:double>>")
+
+
+def filter_rows(df: DataFrame, grammar: Grammar, text_column: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows that score less than `least`, with all columns; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, text_column):
+            yield part.filter(pa.array([grammar.score(grammar.match(t)[1]) < least for t in part.column(text_column).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
