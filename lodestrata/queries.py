@@ -32,4 +32,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import derivations, relational, windows  # noqa: F401
+    from .operators import derivations, ingestion, provenance, relational, rollups, windows  # noqa: F401
