@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import lineage, results
+from ..plans import dialect, lineage, results
 from ..queries import query, table
 
 
@@ -127,3 +127,16 @@ def closure_recheck(spark: SparkSession, d: str) -> DataFrame:
     """A manifest built again must be the same bag of rows."""
     build = lambda: table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
     return build().withColumn("unchanged", F.lit(results.same_rows(build(), build())))
+
+
+@query("dialect_query", """
+WITH per AS (SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING count(*) > 3)
+SELECT c_custkey, n, rank() OVER (PARTITION BY c_nationkey ORDER BY n DESC) AS r FROM per JOIN customer ON c_custkey = k""")
+def dialect_query(spark: SparkSession, d: str) -> DataFrame:
+    """A query with bound values that is admitted first and then run."""
+    for name in ("orders", "customer"):
+        table(spark, d, name).createOrReplaceTempView(f"dialect_{name}")
+    sql = """
+        WITH per(k, n) AS (SELECT o_custkey AS k, count(*) AS n FROM dialect_orders WHERE o_orderstatus = :status GROUP BY o_custkey HAVING count(*) > :least)
+        SELECT c.c_custkey, per.n, rank() OVER (PARTITION BY c.c_nationkey ORDER BY per.n DESC) AS r FROM per JOIN dialect_customer AS c ON c.c_custkey = per.k"""
+    return dialect.run(spark, sql, {"status": "F", "least": 3}, {"dialect_orders", "dialect_customer"})

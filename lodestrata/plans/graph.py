@@ -68,11 +68,12 @@ def resolve(redirects: DataFrame, nodes: DataFrame, most_hops: int = 16) -> Data
     cycle and after more than most_hops hops.
     """
     jump = cut(redirects.select("node", "target").dropna())
-    state = nodes.select("node").distinct().join(jump, "node", "left").select("node", F.coalesce("target", "node").alias("at"), F.col("target").isNotNull().cast("int").alias("hops"))
+    everyone = nodes.select("node").unionByName(jump.select("node")).unionByName(jump.select(F.col("target").alias("node"))).distinct()
+    state = everyone.join(jump, "node", "left").select("node", F.coalesce("target", "node").alias("at"), F.col("target").isNotNull().cast("int").alias("hops"))
     for _ in range(most_hops.bit_length()):
         ahead = state.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("hops").alias("_h"))
         state = cut(state.join(ahead, state.at == F.col("_n"), "left").select("node", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")))
     open_ = state.join(jump.select(F.col("node").alias("at")), "at", "left_semi").select("node", F.lit(True).alias("_open"))
-    done = state.join(open_, "node", "left")
+    done = state.join(nodes.select("node").distinct(), "node", "left_semi").join(open_, "node", "left")
     stuck = F.coalesce("_open", F.lit(False)) | (F.col("hops") > most_hops)
     return done.select("node", F.when(~stuck, F.col("at")).alias("resolved"), F.when(~stuck, F.col("hops")).alias("hops"), stuck.alias("is_cycle"))
