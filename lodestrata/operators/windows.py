@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.lowering import filtered_over
 from ..queries import query, table
 
-BY_USER = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+def by_user() -> WindowSpec:
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("flagship", """
@@ -31,7 +33,7 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 @query("win_row_number", "SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events")
 def win_row_number(spark: SparkSession, d: str) -> DataFrame:
     """Row numbers in a total order."""
-    return table(spark, d, "events").select("event_id", F.row_number().over(BY_USER).cast("bigint").alias("rn"))
+    return table(spark, d, "events").select("event_id", F.row_number().over(by_user()).cast("bigint").alias("rn"))
 
 
 @query("win_rank", "SELECT p_partkey, rank() OVER w AS r, dense_rank() OVER w AS dr FROM part WINDOW w AS (PARTITION BY p_brand ORDER BY p_size DESC NULLS LAST)")
@@ -46,7 +48,7 @@ SELECT event_id, lag(event_type, 1, 'none') OVER w AS before, lead(event_id, 2)
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def win_lag_lead(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours at offsets 0 to 64."""
-    return table(spark, d, "events").select("event_id", F.lag("event_type", 1, "none").over(BY_USER).alias("before"), F.lead("event_id", 2).over(BY_USER).alias("after"), F.lag("event_id", 0).over(BY_USER).alias("self"), F.lead("event_id", 64).over(BY_USER).alias("far"))
+    return table(spark, d, "events").select("event_id", F.lag("event_type", 1, "none").over(by_user()).alias("before"), F.lead("event_id", 2).over(by_user()).alias("after"), F.lag("event_id", 0).over(by_user()).alias("self"), F.lead("event_id", 64).over(by_user()).alias("far"))
 
 
 @query("win_rows_frames", """
@@ -55,7 +57,7 @@ SELECT event_id, count(value) OVER (w ROWS BETWEEN 3 PRECEDING AND 1 FOLLOWING)
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)""")
 def win_rows_frames(spark: SparkSession, d: str) -> DataFrame:
     """Aggregates over row frames (W6, W7, W13): one sort serves all."""
-    frame = lambda a, b: BY_USER.rowsBetween(a, b)
+    frame = lambda a, b: by_user().rowsBetween(a, b)
     first, last = Window.unboundedPreceding, Window.unboundedFollowing
     return table(spark, d, "events").select(
         "event_id",
@@ -70,7 +72,7 @@ def win_rows_frames(spark: SparkSession, d: str) -> DataFrame:
 @query("win_empty_frame", "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 2 FOLLOWING AND 3 FOLLOWING) AS n FROM events")
 def win_empty_frame(spark: SparkSession, d: str) -> DataFrame:
     """A frame beyond the partition's end is empty."""
-    return table(spark, d, "events").select("event_id", F.count("*").over(BY_USER.rowsBetween(2, 3)).alias("n"))
+    return table(spark, d, "events").select("event_id", F.count("*").over(by_user().rowsBetween(2, 3)).alias("n"))
 
 
 @query("win_filter_lowered", """
@@ -78,7 +80,7 @@ SELECT event_id, count(*) FILTER (WHERE value > 50) OVER w AS n, max(value) FILT
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 10 PRECEDING AND CURRENT ROW)""")
 def win_filter_lowered(spark: SparkSession, d: str) -> DataFrame:
     """FILTER inside a window."""
-    w = BY_USER.rowsBetween(-10, 0)
+    w = by_user().rowsBetween(-10, 0)
     return table(spark, d, "events").select("event_id", filtered_over(F.count, F.lit(1), F.col("value") > 50, w).alias("n"), filtered_over(F.max, F.col("value"), F.col("event_type") == "click", w).alias("hi"))
 
 
