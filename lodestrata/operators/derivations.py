@@ -121,7 +121,11 @@ def timeline_effective(spark: SparkSession, d: str) -> DataFrame:
     return j.select("event_id", "unit_at", "event_at", F.coalesce("unit_at", "event_at", F.lit(-1).cast("bigint")).alias("effective_at"), basis.alias("basis"))
 
 
-_CORRECTIONS = "SELECT event_id % 997 AS predecessor, event_id AS successor, ts FROM events WHERE event_type = 'signup' AND event_id % 4 = 0 AND event_id >= 997"
+_CORRECTIONS = "SELECT event_id - user_id % 7 - 1 AS predecessor, event_id AS successor, ts FROM events WHERE event_type = 'signup'"
+
+
+def _predecessor():
+    return (F.col("event_id") - F.col("user_id") % 7 - 1).alias("event_id")
 
 
 @query("correction_state", f"""
@@ -131,7 +135,7 @@ SELECT event_id, n AS successors, CASE WHEN n = 0 THEN 'unsuperseded' WHEN n = 1
 def correction_state(spark: SparkSession, d: str) -> DataFrame:
     """Successors of an observation at the frame's time; with several it is branched, and none wins by being newer (D3)."""
     e = known_events(spark, d)
-    c = e.filter("event_type = 'signup' AND event_id % 4 = 0 AND event_id >= 997").groupBy((F.col("event_id") % 997).alias("event_id")).agg(F.count("*").alias("k"))
+    c = e.filter("event_type = 'signup'").groupBy(_predecessor()).agg(F.count("*").alias("k"))
     n = F.coalesce("k", F.lit(0).cast("bigint"))
     return e.select("event_id").join(c, "event_id", "left").select("event_id", n.alias("successors"), F.when(n == 0, "unsuperseded").when(n == 1, "superseded").otherwise("branched").alias("state"))
 
@@ -141,7 +145,7 @@ SELECT event_id FROM events e WHERE ts <= TIMESTAMP '{KNOWN_AT}' AND NOT EXISTS
 def resolved_view(spark: SparkSession, d: str) -> DataFrame:
     """The view without any observation that has successors (D3)."""
     e = known_events(spark, d)
-    c = e.filter("event_type = 'signup' AND event_id % 4 = 0 AND event_id >= 997").select((F.col("event_id") % 997).alias("event_id"))
+    c = e.filter("event_type = 'signup'").select(_predecessor())
     return e.select("event_id").join(c, "event_id", "left_anti")
 
 
@@ -205,18 +209,36 @@ def relation_projection(spark: SparkSession, d: str) -> DataFrame:
     return a.select("claim", F.when(F.col("gone"), "retracted").otherwise("active").alias("state"), token.alias("head_token"), (~F.col("gone") & ~F.col("pending")).alias("support_eligible"), F.when(F.col("gone"), "withdrawn").when(F.col("pending"), "corrected").alias("support_reason"))
 
 
-_EDGES = "SELECT user_id AS src, event_id % 151 AS dst FROM events WHERE event_type = 'purchase' AND event_id % 9 = 0"
+_EDGES = """SELECT event_id AS src, prev AS dst FROM links WHERE prev IS NOT NULL UNION ALL SELECT prev, event_id FROM links WHERE prev IS NOT NULL AND event_type = 'error'
+UNION ALL SELECT event_id, click FROM links WHERE click IS NOT NULL AND event_type = 'purchase'"""
+_LINKS = """links AS (SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS prev,
+max(CASE WHEN event_type = 'click' THEN event_id END) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS click FROM events)"""
 
 
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").filter("event_type = 'purchase' AND event_id % 9 = 0").select(F.col("user_id").alias("src"), (F.col("event_id") % 151).alias("dst"))
+    """Events as nodes: each points to the user's event of its type before it, errors also back, purchases also to the click before."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    before = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    clicks = F.max(F.when(F.col("event_type") == "click", F.col("event_id"))).over(before)
+    links = table(spark, d, "events").select("event_id", "user_id", "event_type").withColumns({"prev": F.lag("event_id").over(w), "click": clicks})
+    pair = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
+    ways = F.array(F.when(F.col("prev").isNotNull(), pair("event_id", "prev")), F.when(F.col("prev").isNotNull() & (F.col("event_type") == "error"), pair("prev", "event_id")), F.when(F.col("click").isNotNull() & (F.col("event_type") == "purchase"), pair("event_id", "click")))
+    return links.select(F.explode(F.array_compact(ways)).alias("e")).select("e.src", "e.dst")
+
+
+_ANCHORS = "SELECT event_id AS node FROM events WHERE event_type IN ('signup', 'purchase', 'error') UNION ALL SELECT event_id FROM events WHERE event_type = 'signup' AND value > 50"
+
+
+def anchors(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events")
+    return e.filter("event_type IN ('signup', 'purchase', 'error')").select(F.col("event_id").alias("node")).unionAll(e.filter("event_type = 'signup' AND value > 50").select("event_id"))
 
 
 def _paths(reverse: bool) -> str:
     a, b = ("dst", "src") if reverse else ("src", "dst")
     return f"""
-WITH RECURSIVE e AS ({_EDGES}), p(node, depth, path, is_cycle) AS (
-  SELECT CAST(k AS BIGINT), 0, [CAST(k AS BIGINT)], false FROM (VALUES (1), (2), (2), (3)) v(k)
+WITH RECURSIVE {_LINKS}, e AS ({_EDGES}), p(node, depth, path, is_cycle) AS (
+  SELECT node, 0, [node], false FROM ({_ANCHORS})
   UNION ALL SELECT e.{b}, depth + 1, list_append(path, e.{b}), list_contains(path, e.{b}) FROM p JOIN e ON e.{a} = p.node WHERE NOT is_cycle AND depth < 4)
 SELECT node, depth, array_to_string(path, '>') AS path, is_cycle FROM p"""
 
@@ -224,8 +246,7 @@ SELECT node, depth, array_to_string(path, '>') AS path, is_cycle FROM p"""
 def _walk(reverse: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
         """Bounded paths with depth, path and cycle flag, a bag even for a repeated anchor."""
-        anchors = spark.sql("SELECT explode(array(1L, 2L, 2L, 3L)) AS node")
-        return graph.walk_paths(edges(spark, d), anchors, 4, reverse).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "is_cycle")
+        return graph.walk_paths(edges(spark, d), anchors(spark, d), 4, reverse).select("node", "depth", F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), "is_cycle")
 
     return run
 
@@ -239,26 +260,26 @@ def rec_paths_sql(spark: SparkSession, d: str) -> DataFrame:
     """The same walk as one recursive SQL query with a path array in place of a cycle clause."""
     return spark.sql("""
         WITH RECURSIVE p(node, depth, path, is_cycle) AS (
-          SELECT node, 0, array(node), false FROM (SELECT explode(array(1L, 2L, 2L, 3L)) AS node)
+          SELECT node, 0, array(node), false FROM {a}
           UNION ALL SELECT e.dst, depth + 1, concat(path, array(e.dst)), array_contains(path, e.dst) FROM p JOIN {e} e ON e.src = p.node WHERE NOT is_cycle AND depth < 4)
-        SELECT node, depth, array_join(CAST(path AS ARRAY<STRING>), '>') AS path, is_cycle FROM p""", e=edges(spark, d))
+        SELECT node, depth, array_join(CAST(path AS ARRAY<STRING>), '>') AS path, is_cycle FROM p""", e=edges(spark, d), a=anchors(spark, d))
 
 
 @query("transitive_corrections", f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a, b FROM r""")
+WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT * FROM ({_EDGES})), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a, b FROM r""")
 def transitive_corrections(spark: SparkSession, d: str) -> DataFrame:
     """Closure with set semantics and cycle protection."""
     return graph.closure(edges(spark, d))
 
 
-@query("derivation_targets", f"SELECT DISTINCT src, dst FROM ({_EDGES}) WHERE src <> dst")
+@query("derivation_targets", f"WITH {_LINKS} SELECT DISTINCT src, dst FROM ({_EDGES}) WHERE src <> dst")
 def derivation_targets(spark: SparkSession, d: str) -> DataFrame:
     """Distinct edges that aren't loops."""
     return edges(spark, d).filter("src <> dst").distinct()
 
 
 _ROOTS = f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), n AS (SELECT src AS n FROM e UNION SELECT dst FROM e),
+WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT * FROM ({_EDGES})), n AS (SELECT src AS n FROM e UNION SELECT dst FROM e),
 r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b),
 bottom AS (SELECT n FROM n WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.a = n AND r.b <> n AND NOT EXISTS (SELECT 1 FROM r q WHERE q.a = r.b AND q.b = n))),
 named AS (SELECT n, least(n, coalesce((SELECT min(r.b) FROM r JOIN r q ON q.a = r.b AND q.b = r.a WHERE r.a = bottom.n), n)) AS root FROM bottom),
@@ -280,29 +301,35 @@ def independent_root_count(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("forbidden_cycles", f"""
-WITH RECURSIVE e AS (SELECT DISTINCT * FROM ({_EDGES})), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a AS node FROM r WHERE a = b""")
+WITH RECURSIVE {_LINKS}, e AS (SELECT DISTINCT * FROM ({_EDGES})), r(a, b) AS (SELECT src, dst FROM e UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT a AS node FROM r WHERE a = b""")
 def forbidden_cycles(spark: SparkSession, d: str) -> DataFrame:
     """Nodes that reach themselves."""
     return graph.closure(edges(spark, d)).filter("a = b").select(F.col("a").alias("node"))
 
 
-_REDIRECTS = f"SELECT user_id AS node, arg_max(event_id % 150, ts) AS target FROM events WHERE event_type = 'signup' AND event_id % 20 = 0 AND ts <= TIMESTAMP '{KNOWN_AT}' GROUP BY user_id"
+_REDIRECTS = f"""SELECT event_id AS node, CASE WHEN event_type = 'error' THEN coalesce(prev, last) ELSE prev END AS target FROM (
+SELECT event_id, event_type, lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS prev, max(event_id) OVER (PARTITION BY user_id, event_type) AS last FROM events WHERE ts <= TIMESTAMP '{KNOWN_AT}')
+WHERE event_type IN ('view', 'error') AND (prev IS NOT NULL OR event_type = 'error')"""
 
 
 def _redirects(spark: SparkSession, d: str) -> DataFrame:
-    e = known_events(spark, d).filter("event_type = 'signup' AND event_id % 20 = 0")
-    return e.groupBy(F.col("user_id").alias("node")).agg(F.max_by(F.col("event_id") % 150, "ts").alias("target"))
+    """Redirects known at the frame's time: views to the view before, errors too, and the first error to the last (a cycle)."""
+    w = Window.partitionBy("user_id", "event_type").orderBy("event_id")
+    last = F.max("event_id").over(Window.partitionBy("user_id", "event_type"))
+    prev = F.lag("event_id").over(w)
+    e = known_events(spark, d).filter("event_type IN ('view', 'error')")
+    return e.select(F.col("event_id").alias("node"), F.when(F.col("event_type") == "error", F.coalesce(prev, last)).otherwise(prev).alias("target")).dropna()
 
 
 @query("redirects_asof", f"""
-WITH RECURSIVE e AS ({_REDIRECTS}), n AS (SELECT DISTINCT user_id AS node FROM events),
+WITH RECURSIVE e AS ({_REDIRECTS}), n AS (SELECT event_id AS node FROM events),
 w(node, here, path) AS (SELECT node, node, [node] FROM n UNION ALL SELECT w.node, e.target, list_append(path, e.target) FROM w JOIN e ON e.node = w.here WHERE NOT list_contains(path, e.target)),
 last AS (SELECT node, arg_max(here, len(path)) AS here, max(len(path)) - 1 AS hops FROM w GROUP BY node)
 SELECT l.node, CASE WHEN e.node IS NULL THEN l.here END AS resolved, CASE WHEN e.node IS NULL THEN l.hops END AS hops, e.node IS NOT NULL AS is_cycle FROM last l LEFT JOIN e ON e.node = l.here""")
 def redirects_asof(spark: SparkSession, d: str) -> DataFrame:
     """Where redirects as of a time end; null and flagged on a cycle."""
-    nodes = table(spark, d, "events").select(F.col("user_id").alias("node")).distinct()
-    out = graph.resolve(_redirects(spark, d), nodes, 64)
+    nodes = table(spark, d, "events").select(F.col("event_id").alias("node"))
+    out = graph.resolve(_redirects(spark, d), nodes, 1000)
     return out.select("node", "resolved", F.col("hops").cast("bigint").alias("hops"), "is_cycle")
 
 
@@ -343,12 +370,12 @@ def evidence_refs(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("inspect_relations", f"""
-WITH e AS (SELECT DISTINCT * FROM ({_EDGES})) SELECT 'outgoing' AS side, src AS node, dst AS other FROM e WHERE src < 20 UNION ALL SELECT 'incoming', dst, src FROM e WHERE dst < 20""")
+WITH {_LINKS}, e AS (SELECT DISTINCT * FROM ({_EDGES})) SELECT 'outgoing' AS side, src AS node, dst AS other FROM e UNION ALL SELECT 'incoming', dst, src FROM e""")
 def inspect_relations(spark: SparkSession, d: str) -> DataFrame:
-    """Incoming and outgoing relations of some nodes."""
+    """Incoming and outgoing relations of each node."""
     e = edges(spark, d).distinct()
-    out = e.filter("src < 20").select(F.lit("outgoing").alias("side"), F.col("src").alias("node"), F.col("dst").alias("other"))
-    return out.unionByName(e.filter("dst < 20").select(F.lit("incoming").alias("side"), F.col("dst").alias("node"), F.col("src").alias("other")))
+    out = e.select(F.lit("outgoing").alias("side"), F.col("src").alias("node"), F.col("dst").alias("other"))
+    return out.unionByName(e.select(F.lit("incoming").alias("side"), F.col("dst").alias("node"), F.col("src").alias("other")))
 
 
 @query("sealed_unit_facts", "SELECT doc_id, sha256(text) AS digest, length(text) AS chars, lower(lang) AS lang FROM documents")

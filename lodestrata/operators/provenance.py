@@ -107,11 +107,11 @@ def visible_scope(spark: SparkSession, d: str) -> DataFrame:
     return results.visible(table(spark, d, "supplier"), grants, "s_nationkey").groupBy("s_nationkey").agg(F.count("*").alias("n"))
 
 
-@query("newly_visible", "SELECT DISTINCT o_custkey AS ref FROM orders WHERE o_orderkey % 2 = 0 EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 2 = 1")
+@query("newly_visible", "SELECT DISTINCT o_custkey AS ref FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def newly_visible(spark: SparkSession, d: str) -> DataFrame:
     """References that no earlier page has shown."""
-    o = table(spark, d, "orders").select(F.col("o_custkey").alias("ref"), "o_orderkey")
-    return o.filter("o_orderkey % 2 = 0").select("ref").subtract(o.filter("o_orderkey % 2 = 1").select("ref"))
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("ref"), "o_orderstatus")
+    return o.filter("o_orderstatus = 'F'").select("ref").subtract(o.filter("o_orderstatus = 'O'").select("ref"))
 
 
 @query("source_slices", "SELECT doc_id, CAST(doc_id % 50 AS BIGINT) AS \"start\", CAST(doc_id % 50 + 40 AS BIGINT) AS \"end\", substring(text, CAST(doc_id % 50 + 1 AS BIGINT), 40) AS slice FROM documents")

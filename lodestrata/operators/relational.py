@@ -70,7 +70,7 @@ def join_inner(spark: SparkSession, d: str) -> DataFrame:
 def _outer(how: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         """Outer join of customers to their urgent orders: unmatched sides are null."""
-        o = table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_custkey") % 3 == 0)).select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
+        o = table(spark, d, "orders").filter((F.col("o_orderpriority") == "1-URGENT") & (F.col("o_totalprice") > 1000)).select("o_orderkey", (F.col("o_custkey") * 2).alias("k"))
         c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
         return c.join(o, c.c_custkey == o.k, how).select("c_custkey", "c_nationkey", "o_orderkey")
 
@@ -80,7 +80,7 @@ def _outer(how: str):
 for _how in ("left", "right", "full"):
     query(f"join_{_how}", f"""
 SELECT c_custkey, c_nationkey, o_orderkey FROM customer {_how.upper()} JOIN
-  (SELECT o_orderkey, o_custkey * 2 AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0) o ON c_custkey = k""")(_outer(_how))
+  (SELECT o_orderkey, o_custkey * 2 AS k FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 1000) o ON c_custkey = k""")(_outer(_how))
 
 
 @query("join_self", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey WHERE a.n_nationkey < b.n_nationkey")

@@ -30,7 +30,8 @@ def walk_paths(edges: DataFrame, anchors: DataFrame, max_depth: int, reverse: bo
 def closure(edges: DataFrame, starts: DataFrame | None = None, most_rounds: int = 64) -> DataFrame:
     """Reachable pairs (a, b) by one or more edges, from every node or from the starts (a); a fixpoint over distinct pairs.
 
-    Each round joins only the pairs that the round before found (semi-naive), and ends when none are new.
+    Each round extends only the pairs that the round before found, and ends when none are new. From every node they are
+    extended by all pairs found so far, so that the length covered doubles each round; from given starts by single edges.
     """
     steps = cut(edges.select("src", "dst").distinct())
     new = steps.select(F.col("src").alias("a"), F.col("dst").alias("b"))
@@ -38,7 +39,8 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, most_rounds: int
         new = new.join(starts.select("a").distinct(), "a", "left_semi")
     new = found = cut(new)
     for _ in range(most_rounds):
-        new = cut(new.join(steps, new.b == steps.src).select("a", F.col("dst").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
+        ahead = (found if starts is None else steps).toDF("src", "dst")
+        new = cut(new.join(ahead, new.b == ahead.src).select("a", F.col("dst").alias("b")).distinct().join(found, ["a", "b"], "left_anti"))
         if new.isEmpty():
             return found
         found = cut(found.unionByName(new))
