@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import threading
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -146,6 +149,16 @@ class Run:
     def close(self) -> None:
         self.closed = True
 
+    def purge(self) -> int:
+        """Delete the files of a closed run's results; its digests stay known. Returns how many results went."""
+        if not self.closed:
+            raise ResultError("invalid_request", "the run is open")
+        jvm, gone = self.spark._jvm, 0
+        for r in self.results.values():
+            path = jvm.org.apache.hadoop.fs.Path(r.path)
+            gone += bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True))
+        return gone
+
 
 @dataclass
 class Checkpoints:
@@ -174,6 +187,24 @@ class Checkpoints:
         raise ResultError("unavailable", "no such checkpoint")
 
 
+@contextlib.contextmanager
+def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
+    """Cancel the jobs that are started inside if they take longer; the query then fails as a whole."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "deadline", interruptOnCancel=True)
+    timer = threading.Timer(seconds, spark.sparkContext.cancelJobGroup, [group])
+    timer.start()
+    try:
+        yield
+    except Exception as e:
+        if not timer.is_alive():
+            raise ResultError("cancelled", f"over {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def visible(df: DataFrame, grants: DataFrame, scope: str) -> DataFrame:
     """Only rows whose scope is granted: a semi-join that comes before any join or aggregate of the frame."""
     return df.join(grants.select(scope).distinct(), scope, "left_semi")

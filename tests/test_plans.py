@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata import catalog
 from lodestrata.functions import lowering
 from lodestrata.plans import dialect, graph, results, temporal
-from lodestrata.sources import framing
+from lodestrata.sources import framing, records
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -107,7 +107,10 @@ def test_results_page_reuse_and_conflict(spark, tmp_path):
         run.commit("u", "f", df, ["k"], most_bytes=10)
     empty = run.commit("e", "f", df.filter("false"), ["k"])
     assert run.page(empty).rows == [] and run.page(empty).cursor is None
+    with pytest.raises(results.ResultError, match="invalid_request"):
+        run.purge()
     run.close()
+    assert run.purge() == 3
     with pytest.raises(results.ResultError, match="unavailable"):
         run.commit("z", "f", df, ["k"])
 
@@ -152,6 +155,13 @@ def test_dialect_refuses(spark, sql):
 def test_dialect_admits_and_reports(spark):
     a = dialect.admit(spark, "SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > :p GROUP BY o_custkey ORDER BY n DESC LIMIT 7", {"p": 1}, {"orders"})
     assert (a.outputs, a.limit, a.parameters, a.relations) == (["k", "n"], 7, ["p"], ["orders"])
+    assert a.order == [("n", False, False)] and a.coverage == "explicit_limit"
+    kinds = catalog.relations()["statements"].kind
+    joined = "SELECT s.text AS t FROM statements s JOIN observations o ON {}"
+    dialect.admit(spark, joined.format("s.bead_id = o.bead_id"), {}, {"statements", "observations"}, kind_of=kinds)
+    for on, construct in (("s.text = o.title", "join_identity"), ("s.bead_id = o.event_id", "reference_type")):
+        with pytest.raises(dialect.Refusal, match=construct):
+            dialect.admit(spark, joined.format(on), {}, {"statements", "observations"}, kind_of=kinds)
     with pytest.raises(dialect.Refusal, match="unused_parameter"):
         dialect.admit(spark, "SELECT o_custkey FROM orders", {"p": 1}, {"orders"})
 
@@ -169,3 +179,16 @@ def test_catalog_checks_population(spark):
         catalog.check(loose, r)
     views = catalog.register(spark, {"relation_replacements": good})
     assert spark.table("relation_replacements").count() == 2 and list(views) == ["relation_replacements"]
+
+
+def test_deadline_cancels(spark):
+    with pytest.raises(results.ResultError, match="cancelled"), results.deadline(spark, 1.0):
+        spark.range(10**12).selectExpr("sum(sqrt(id) * sin(id))").collect()
+    with results.deadline(spark, 60):
+        assert spark.range(5).count() == 5
+
+
+def test_damaged_records_are_kept_apart(spark, tmp_path):
+    (tmp_path / "r.jsonl").write_text('{"record_key":"a","seq":1}\n{oops\n{"record_key":"b","seq":"x"}\n')
+    rows = records.read(spark, f"file://{tmp_path}/r.jsonl").cache().collect()
+    assert [(r["record_key"], r["damaged"] is not None) for r in rows] == [("a", False), (None, True), ("b", True)]
