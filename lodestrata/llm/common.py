@@ -27,7 +27,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not root:
         root = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+_written: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> int:
+    """Delete what this application's operators have written to the shared folder. Call it once their results are saved:
+    results that are not yet computed read these files."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:

@@ -167,13 +167,16 @@ class Grammar:
 
 
 def _learning_rows(df: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """Texts with labels, of either class at most `most`, drawn by a hash of the id; stored."""
+    """Texts with labels, of either class at most `most`, drawn by a hash of the id; stored.
+
+    Null labels and ids are left out; a document with several labels has the highest.
+    """
     known = labels.select(F.col("doc_id"), F.col(label).alias("label")).dropna().filter(~held_out())
     drawn = None
     for k in (0, 1):
         own = known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = own if drawn is None else drawn.unionByName(own)
-    drawn = stored(drawn.dropDuplicates(["doc_id"]))
+    drawn = stored(drawn.groupBy("doc_id").agg(F.max("label").alias("label")))
     # at most 2 * most rows of two numbers are broadcast
     return stored(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label"))
 

@@ -14,7 +14,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from lodestrata.llm import bpe, chunking, exact_dedup, langid, media, near_dedup, packing, sharding, token_counts, toxicity
-from lodestrata.llm.common import Bloom
+from lodestrata.llm.common import ROW, Bloom, numbered, release, stored, without
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -196,6 +196,11 @@ def test_token_counts_equal_the_encoder(documents, rows):
     assert Counter((r["id"], r["n_tokens"]) for r in found) == Counter((i, len(encoder.encode_ordinary(t or ""))) for i, t in rows)
 
 
+def test_token_counts_of_nothing(documents):
+    blocks, manifest = token_counts.write_flat(documents([]), BYTES, public_tokenizers.PATTERN, 50256)
+    assert manifest.join(token_counts.separator_scan(blocks, 50256), ["file", "ordinal"]).count() == 0
+
+
 @settings(max_examples=5, deadline=None)
 @given(st.lists(st.lists(st.integers(0, 3), max_size=9), max_size=7))
 def test_separator_scan_stitches_any_blocks(llm_spark, blocks):
@@ -432,3 +437,18 @@ def test_bloom_finds_all(llm_spark):
     others = np.array([r["h"] for r in llm_spark.range(10**6, 10**6 + 2000).select(F.xxhash64("id").alias("h")).collect()])
     assert bloom.find(others).mean() < 0.05
     assert not Bloom.of(keys.filter("false"), "h", 1 << 14).find(values).any()
+
+
+def test_numbered_rows_of_files_and_of_others(llm_spark, documents, rows):
+    df = documents(rows, clash=False)
+    for own in (stored(df), df):
+        n = numbered(own)
+        assert n.select(ROW).distinct().count() == len(rows)
+        dropped = stored(n.filter("doc_id = 8").select(ROW))
+        assert without(n, dropped).count() == len(rows) - 2 and without(n, dropped.filter("false")).columns == ["doc_id", "text"]
+    assert numbered(stored(df)).schema[ROW].dataType.simpleString() == "struct<file:string,at:bigint>"
+
+
+def test_release_deletes_what_was_written(llm_spark):
+    kept = stored(llm_spark.range(3))
+    assert kept.count() == 3 and release(llm_spark) >= 1 and release(llm_spark) == 0
