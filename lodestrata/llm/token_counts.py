@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, text_slices
@@ -77,6 +77,26 @@ def write_flat(df: DataFrame, path: str, pattern: str, separator: int, id_column
     return both.filter("is_block").select("file", F.col("at").alias("block"), "tokens"), both.filter("not is_block").select("file", F.col("at").alias("ordinal"), "id")
 
 
+def read_flat(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
+    """Blocks (file, block, tokens) of binary files of ids, in any store that Spark reads; file is a hash of the path.
+
+    A file is read by one task and must be under 2 GB, as Spark's binary files are; larger ones come in parts. A last piece
+    that is no whole id is left out.
+    """
+    step = block * np.dtype(dtype).itemsize
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
+                data = memoryview(content.as_buffer())
+                end = len(data) // np.dtype(dtype).itemsize * np.dtype(dtype).itemsize
+                for k, at in enumerate(range(0, end, step)):
+                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(data[at : min(at + step, end)])], pa.binary())], names=["file", "block", "tokens"])
+
+    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
+    return files.mapInArrow(run, "file long, block long, tokens binary")
+
+
 def separator_scan(blocks: DataFrame, separator: int, dtype: str = "<u2", span: int = SPAN) -> DataFrame:
     """Documents of flat files given as blocks (file, block, tokens): file, ordinal, start, n_tokens, complete.
 

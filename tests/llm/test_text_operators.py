@@ -196,6 +196,16 @@ def test_token_counts_equal_the_encoder(documents, rows):
     assert Counter((r["id"], r["n_tokens"]) for r in found) == Counter((i, len(encoder.encode_ordinary(t or ""))) for i, t in rows)
 
 
+def test_flat_files_are_scanned(llm_spark, tmp_path):
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 9, 1000).astype("<u2")
+    (tmp_path / "a.bin").write_bytes(tokens.tobytes() + b"x")
+    (tmp_path / "b.bin").write_bytes(b"")
+    got = token_counts.separator_scan(token_counts.read_flat(llm_spark, f"file://{tmp_path}/*.bin", 64), 0).filter("complete").orderBy("ordinal").collect()
+    ends = np.flatnonzero(tokens == 0)
+    assert [r["n_tokens"] + 1 for r in got] == np.diff(np.concatenate(([-1], ends))).tolist()
+
+
 def test_token_counts_of_nothing(documents):
     blocks, manifest = token_counts.write_flat(documents([]), BYTES, public_tokenizers.PATTERN, 50256)
     assert manifest.join(token_counts.separator_scan(blocks, 50256), ["file", "ordinal"]).count() == 0
