@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a long run; pages and characters of a block; hosts that are dealt by page as well, at most.
-LONG, BLOCK_PAGES, BLOCK_CHARS, HEAVY_HOSTS = 8, 64, 1 << 20, 1024
+#: Tokens of a long run; pages and characters of a block; hosts that are dealt by page as well, at most; their pages dealt together.
+LONG, BLOCK_PAGES, BLOCK_CHARS, HEAVY_HOSTS, HEAVY_PAGES = 8, 64, 1 << 20, 1 << 16, 20_000
 
 # Names of elements, and words in class, id and role that mark furniture.
 UNSEEN = frozenset("head title script style noscript template svg canvas iframe object".split())
@@ -179,13 +179,11 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
     pages = df.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host_of(F.col(url_column)).alias("host"))
     hosts = pages.groupBy("host").agg(F.count("*").alias("n"))
     total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # fewer than HEAVY_HOSTS hosts can have more pages than this
+    # fewer than HEAVY_HOSTS hosts can have more pages than this, so that what is broadcast of them is bounded
     most = max(BLOCK_PAGES, -(-total // HEAVY_HOSTS))
-    heavy = {r["host"]: -(-r["n"] // most) for r in hosts.filter(F.col("n") > most).collect()}
-    deal = F.lit(0).cast("long")
-    if heavy:
-        parts = F.element_at(F.create_map(*[x for h, k in heavy.items() for x in (F.lit(h), F.lit(k))]), F.col("host"))
-        deal = F.when(F.col("host").isin(list(heavy)), F.pmod(F.xxhash64("id", "url"), parts)).otherwise(deal)
+    heavy = hosts.filter(F.col("n") > most).select("host", F.ceil(F.col("n") / min(most, HEAVY_PAGES)).alias("parts"))
+    pages = pages.join(F.broadcast(heavy), "host", "left")
+    deal = F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0).cast("long"))
     tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
     kind = df.schema[id_column].dataType.simpleString()
 
@@ -216,6 +214,6 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
         if held:
             yield done()
 
-    dealt = pages.withColumn("deal", deal).repartition(tasks, "host", "deal").sortWithinPartitions("host", "deal", "id", "url")
+    dealt = pages.withColumn("deal", deal).drop("parts").repartition(tasks, "host", "deal").sortWithinPartitions("host", "deal", "id", "url")
     out = dealt.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, n_repeated long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column} if url_column != id_column else {})
