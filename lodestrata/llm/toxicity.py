@@ -33,6 +33,8 @@ OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE, SENTENCE = range(8)
 #: Logarithms of what an insult or threat counts where it is negated, reported, or has a target in its clause.
 NEGATED, REPORTED, AIMED = -2.0, -1.0, 0.4
 PRIOR_WEIGHT = 3.0
+#: From this weight on an insult hardly ever stands in a clean document.
+CERTAIN = 5.5
 #: Labelled documents of either class learned from at most; letters of a stem; documents and evidence that a stem needs.
 TRAINING, STEM, SUPPORT, CHI_SQUARE, LIFT = 4000, (3, 10), 5, 25.0, 1.4
 
@@ -57,12 +59,12 @@ def negation(reach: int = 3) -> Machine:
             elif kind in (CLAUSE, SENTENCE):
                 arcs[s, kind] = (0, 0.0)
             else:
-                arcs[s, kind] = (max(0, s - 1), NEGATED if s and kind in (INSULT, THREAT) else 0.0)
+                arcs[s, kind] = (max(0, s - 1), NEGATED if s and kind in (INSULT, THREAT, TARGET) else 0.0)
     return Machine(reach + 1, arcs)
 
 
 def reported() -> Machine:
-    return Machine(2, {(0, REPORT): (1, 0.0), (1, SENTENCE): (0, 0.0), (1, INSULT): (1, REPORTED), (1, THREAT): (1, REPORTED)})
+    return Machine(2, {(0, REPORT): (1, 0.0), (1, SENTENCE): (0, 0.0), (1, INSULT): (1, REPORTED), (1, THREAT): (1, REPORTED), (1, TARGET): (1, REPORTED)})
 
 
 def target() -> Machine:
@@ -70,9 +72,10 @@ def target() -> Machine:
 
 
 def threat() -> Machine:
-    """A threat needs a target before it in its clause, else it is silent."""
+    """A threat needs a target in its clause: it counts where the second of the two stands, and alone it is silent."""
     never = -math.inf
-    return Machine(2, {(0, TARGET): (1, 0.0), (0, THREAT): (0, never), (1, CLAUSE): (0, 0.0), (1, SENTENCE): (0, 0.0)})
+    arcs = {(0, TARGET): (1, never), (1, TARGET): (1, never), (0, THREAT): (2, never), (2, THREAT): (2, never), (2, TARGET): (1, 0.0)}
+    return Machine(3, arcs | {(s, end): (0, 0.0) for s in (1, 2) for end in (CLAUSE, SENTENCE)})
 
 
 def compose(*machines: Machine) -> tuple[list[list[int]], list[list[float]]]:
@@ -98,7 +101,7 @@ def compose(*machines: Machine) -> tuple[list[list[int]], list[list[float]]]:
 _NEXT, _WEIGHT = compose(negation(), reported(), target(), threat())
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|[,;:|]")
 _FIXED = {w: kind for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
-FEATURES = ("one", "clauses", "weight", "strongest", "density", "stems", "threats")
+FEATURES = ("one", "clauses", "weight", "certain", "density", "stems", "threats")
 
 
 @dataclass
@@ -122,17 +125,17 @@ class Grammar:
     def _stem(self, word: str) -> str | None:
         return next((word[:n] for n in self._lengths if word[:n] in self.stems), None)
 
-    def clauses(self, text: str) -> list[tuple[int, int, float, int, list[str]]]:
-        """The matched clauses of a lower-case text: start, end, weight, threats and stems."""
-        found, state, start, weight, threats, stems, end = [], 0, 0, 0.0, 0, [], 0
+    def clauses(self, text: str) -> list[tuple[int, int, float, int, list[str], float]]:
+        """The matched clauses of a lower-case text: start, end, weight, threats, stems and the weight of the strongest insult."""
+        found, state, start, weight, best, threats, stems, end = [], 0, 0, 0.0, 0.0, 0, [], 0
         following, weights = _NEXT, _WEIGHT
         for m in _TOKEN.finditer(text):
             word = m[0]
             if not word[0].isalpha():
                 kind = CLAUSE if word in ",;:|" else SENTENCE
                 if stems or threats:
-                    found.append((start, m.start(), weight, threats, stems))
-                    weight, threats, stems = 0.0, 0, []
+                    found.append((start, m.start(), weight, threats, stems, best))
+                    weight, best, threats, stems = 0.0, 0.0, 0, []
                 start = m.end()
             else:
                 end = m.end()
@@ -141,14 +144,15 @@ class Grammar:
                     stem = self._stem(word)
                     if stem is not None:
                         kind = INSULT
+                        own = self.stems[stem] * math.exp(weights[state][INSULT])
                         stems.append(stem)
-                        weight += self.stems[stem] * math.exp(weights[state][INSULT])
-                    elif kind == THREAT and weights[state][THREAT] > -math.inf:
-                        threats += 1
-                        weight += PRIOR_WEIGHT * math.exp(weights[state][THREAT])
+                        weight, best = weight + own, max(best, own)
+                if kind in (THREAT, TARGET) and weights[state][kind] > -math.inf:
+                    threats += 1
+                    weight += PRIOR_WEIGHT * math.exp(weights[state][kind])
             state = following[state][kind]
         if stems or threats:
-            found.append((start, end, weight, threats, stems))
+            found.append((start, end, weight, threats, stems, best))
         return found
 
     def match(self, text: str | None) -> tuple[list[tuple], list[float]]:
@@ -157,9 +161,10 @@ class Grammar:
         found = self.clauses(low) if self._any(low) else []
         if not found:
             return [], [1.0] + [0.0] * (len(FEATURES) - 1)
-        total = sum(w for _, _, w, _, _ in found)
+        total = sum(c[2] for c in found)
         words = 1 + low.count(" ") + low.count("\n")
-        return found, [1.0, math.log1p(len(found)), math.log1p(total), max(w for _, _, w, _, _ in found), math.log1p(100 * total / words), float(len({s for *_, ss in found for s in ss})), float(sum(t for _, _, _, t, _ in found))]
+        certain = max(0.0, max(c[5] for c in found) - CERTAIN)
+        return found, [1.0, math.log1p(len(found)), math.log1p(total), certain, math.log1p(100 * total / words), float(len({s for c in found for s in c[4]})), float(sum(c[3] for c in found))]
 
     def score(self, features: list[float]) -> float:
         z = sum(a * b for a, b in zip(self.curve, features, strict=True))
@@ -265,7 +270,7 @@ def score(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_colum
         for part in text_slices(batches, text_column):
             done = [grammar.match(t) for t in part.column(text_column).to_pylist()]
             scores = [grammar.score(x) for _, x in done]
-            spans = [[{"start": s, "end": e, "weight": w} for s, e, w, _, _ in found] for found, _ in done]
+            spans = [[{"start": c[0], "end": c[1], "weight": c[2]} for c in found] for found, _ in done]
             yield pa.RecordBatch.from_arrays([part.column(id_column), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(spans, shape)], names=[id_column, "score", "predicted", "clauses"])
 
     kind = df.schema[id_column].dataType.simpleString()

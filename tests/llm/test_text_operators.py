@@ -407,12 +407,13 @@ def test_toxicity_learns_stems_and_scores(llm_spark, documents, rows):
 
 def test_grammar_weighs_clauses():
     g = toxicity.Grammar({"idiot": 3.0})
-    weight = lambda t: sum(w for _, _, w, _, _ in g.clauses(t))
+    weight = lambda t: sum(c[2] for c in g.clauses(t))
     plain = weight("an idiot, here.")
     assert weight("you idiot, here.") > plain > weight("he said an idiot, here.") > weight("he said not an idiot, here.")
     assert weight("not an idiot.") < plain and weight("not at all so very idiot.") == plain
     assert weight("he said so. an idiot.") == plain
     assert weight("kill the lights.") == 0 and weight("you, kill.") == 0 and weight("you kill.") > 0
+    assert weight("i will kill you.") > weight("i will not kill you.") > 0 == weight("kill it all, you.")
     assert len(g.clauses("idiot one, two idiot. none; idiot")) == 3
     text = "first. you idiot, rest"
     (start, end, *_), = g.clauses(text)
