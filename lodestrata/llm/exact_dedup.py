@@ -65,7 +65,8 @@ def _decide(df: DataFrame) -> DataFrame:
     recipes = stored(recipes)
     parts = recipes.select("recipe_key", F.posexplode("recipe").alias("at", "chunk")).select("recipe_key", "at", "chunk.*")
     told = F.struct("check", "length")
-    chunks = parts.groupBy("digest").agg((F.min(told) == F.max(told)).alias("verified"))
+    # read from files, the join with the chunks of all recipes can split a chunk that very many texts share
+    chunks = stored(parts.groupBy("digest").agg((F.min(told) == F.max(told)).alias("verified")))
     parts = parts.join(chunks, "digest").select("recipe_key", "at", F.when(F.col("verified"), F.col("digest")).otherwise(F.concat("digest", "check", F.encode(F.hex("length"), "utf-8"))).alias("chunk_id"))
     lists = parts.groupBy("recipe_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "chunk_id"))), lambda x: x["chunk_id"]).alias("chunk_ids"))
     classes = lists.join(recipes.select("recipe_key", "first", "n"), "recipe_key").groupBy("chunk_ids").agg(F.collect_list("recipe_key").alias("keys"), F.min("first").alias("first"), F.sum("n").alias("group_size"))
