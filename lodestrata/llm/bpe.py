@@ -25,7 +25,7 @@ from .common import text_slices
 
 NO_RANK = np.int32(2**31 - 1)
 #: Bytes of a short word; words remembered by a worker.
-SHORT, REMEMBERED = 48, 300_000
+SHORT, REMEMBERED = 48, 150_000
 
 
 @functools.cache

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,8 +15,16 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+try:
+    _libc = ctypes.CDLL("libc.so.6")
+    _libc.malloc_trim  # noqa: B018
+except (OSError, AttributeError):  # another system's C library
+    _libc = None
+
 #: UTF-8 bytes of text that a task turns into arrays at once; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
+#: The same where arrays are many times the text.
+SMALL_SLICE = 1 << 18
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +73,22 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget:
             stop = max(start + 1, int(np.searchsorted(ends, limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
+
+
+def give_back() -> None:
+    """Return a task's freed memory to the system, as a worker that is kept for other tasks would hold on to it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if _libc is not None:
+        _libc.malloc_trim(0)
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Arrow batches of at most 8 MB or 1000 rows, so that long texts don't add up in executors and their workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return spark
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

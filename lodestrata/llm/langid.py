@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import SMALL_SLICE, text_slices
 
 UNDETERMINED = "und"
 #: N-grams of a profile, and documents of a language that profiles are learned from at most.
@@ -108,14 +108,15 @@ def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", l
     profiles, and everything is predicted as undetermined.
     """
     rows = df.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
-    there = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    # languages alone are counted, so that this reads no text
+    there = {r["lang"]: r["n"] for r in df.select(F.col(lang_column).alias("lang")).dropna().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not there:
         return Profiles([], [], [], length)
     rate = F.create_map(*[x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))])
     chance = F.pmod(F.xxhash64("text", F.lit("profiles")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, budget=SMALL_SLICE):
             langs = np.array(part.column("lang").to_pylist(), object)
             for lang in sorted(set(langs)):
                 _, code, n = grams([t for t, k in zip(part.column("text").to_pylist(), langs) if k == lang])
@@ -140,7 +141,7 @@ def identify(df: DataFrame, profiles: Profiles, id_column: str = "doc_id", text_
     """One row per input row: the id, the columns in `keep`, lang_pred and score. Ids may be null or repeated; other columns are not read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text_column):
+        for part in text_slices(batches, text_column, SMALL_SLICE):
             langs, scores = profiles.predict(part.column(text_column).to_pylist())
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (id_column, *keep)), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[id_column, *keep, "lang_pred", "score"])
 
@@ -156,7 +157,7 @@ def filter_rows(df: DataFrame, profiles: Profiles, text_column: str = "text", le
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text_column):
+        for part in text_slices(batches, text_column, SMALL_SLICE):
             texts = part.column(text_column).to_pylist()
             if profiles.languages:
                 keep = [lang != UNDETERMINED and score >= least for lang, score in zip(*profiles.predict(texts), strict=True)]

@@ -32,7 +32,7 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Vertices of a bucket that are compared in one task.
 BLOCK = 512
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 _words = re.compile(r"\w+").findall
 _known: dict[str, int] = {}

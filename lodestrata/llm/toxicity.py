@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_slices
+from .common import SMALL_SLICE, stored, text_slices
 from .langid import held_out
 
 # Word lists of the grammar.
@@ -202,7 +202,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     low, high = STEM
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, budget=SMALL_SLICE):
             seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
             for text, k in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
                 words = set(re.findall(r"[^\W\d_]+", (text or "").lower()))
@@ -227,7 +227,7 @@ def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TR
     grammar = Grammar(stems)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches):
+        for part in text_slices(batches, budget=SMALL_SLICE):
             x = [grammar.match(t)[1] for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("label").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
