@@ -6,12 +6,14 @@ its pages are concatenated and their suffixes sorted; substrings of LONG tokens
 pages are repeated runs. Furniture goes. Of open blocks the tokens that repeated runs cover go, and unique runs stay. Blocks
 of content stay whole: a sentence that an article shares with another article, or with an advert, is still its text.
 
-Hosts of any size are read in blocks of pages: pages are dealt by host, large hosts by host and a hash of the page, and each
-block is sorted on its own. A block's pages decide what repeats for them.
+Tables don't gather a host's pages: every window of LONG tokens is hashed, distinct pages of a host that have it are counted by
+Spark, and windows found on two or more are joined back to the pages. This finds what the suffix array over the whole host
+would, for hosts of any size. Only windows that some open block of the host asks for are counted; nothing else can remove text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -21,8 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Tokens of a long run; pages and characters of a block; hosts that are dealt by page as well, at most; their pages dealt together.
-LONG, BLOCK_PAGES, BLOCK_CHARS, HEAVY_HOSTS, HEAVY_PAGES = 8, 64, 1 << 20, 1 << 16, 20_000
+from .common import ROW, Bloom, mix64, numbered, stored, text_slices
+
+#: Tokens of a long run.
+LONG = 8
 
 # Names of elements, and words in class, id and role that mark furniture.
 UNSEEN = frozenset("head title script style noscript template svg canvas iframe object".split())
@@ -143,26 +147,79 @@ def repeated(streams: list[np.ndarray], long: int = LONG) -> list[np.ndarray]:
     return [covered[e - s - 1 : e - 1] for e, s in zip(ends.tolist(), sizes, strict=True)]
 
 
-def main_texts(pages: list[str | None], long: int = LONG) -> list[tuple[str, int]]:
-    """The main texts of distinct pages of one host, and how many tokens of each page repeated runs cover."""
-    parsed = [blocks(p) for p in pages]
-    ids: dict[str, int] = {}
-    words = [[b.split(" ") for _, b in p] for p in parsed]
-    streams = [np.fromiter((ids.setdefault(w, len(ids)) for b in p for w in b), np.int64) for p in words]
-    covered = repeated(streams, long) if len(pages) > 1 else [np.zeros(len(s), bool) for s in streams]
-    out = []
-    for page, split, cover in zip(parsed, words, covered, strict=True):
-        kept, at = [], 0
-        for (zone, text), own in zip(page, split, strict=True):
+class Page:
+    """A page's blocks, the tokens of each, and all tokens as one stream."""
+
+    def __init__(self, page: str | None):
+        self.blocks = blocks(page)
+        self.words = [b.split(" ") for _, b in self.blocks]
+        self.stream = [w for own in self.words for w in own]
+
+    def open(self) -> np.ndarray:
+        """Which tokens stand in open blocks."""
+        return np.repeat(np.array([z == OPEN_ZONE for z, _ in self.blocks], bool), [len(own) for own in self.words])
+
+    def text(self, covered: np.ndarray) -> tuple[str, int]:
+        """The main text and how many tokens are taken from it: those of open blocks that are covered."""
+        kept, at, taken = [], 0, 0
+        for (zone, text), own in zip(self.blocks, self.words, strict=True):
             if zone == CONTENT_ZONE:
                 kept.append(text)
             elif zone == OPEN_ZONE:
-                rest = [w for w, c in zip(own, cover[at : at + len(own)].tolist(), strict=True) if not c]
+                rest = [w for w, c in zip(own, covered[at : at + len(own)].tolist(), strict=True) if not c]
+                taken += len(own) - len(rest)
                 if rest:
                     kept.append(" ".join(rest))
             at += len(own)
-        out.append(("\n".join(kept), int(cover.sum())))
-    return out
+        return "\n".join(kept), taken
+
+
+def main_texts(pages: list[str | None], long: int = LONG) -> list[tuple[str, int]]:
+    """The main texts of distinct pages of one host, by its suffix array in memory, and how many tokens runs take from each."""
+    parsed = [Page(p) for p in pages]
+    ids: dict[str, int] = {}
+    streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in p.stream), np.int64) for p in parsed]
+    covered = repeated(streams, long) if len(pages) > 1 else [np.zeros(len(s), bool) for s in streams]
+    return [p.text(c) for p, c in zip(parsed, covered, strict=True)]
+
+
+def _digest(*parts: str) -> bytes:
+    return hashlib.blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def _short(digest: bytes) -> int:
+    """A digest's first 8 bytes as a signed long, by which Bloom filters know it."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
+_SHORT = "cast(conv(hex(substring(key, 1, 8)), 16, -10) AS long)"
+
+
+def _window(page: Page, host: str, at: int, long: int) -> bytes:
+    return _digest("w", host, *page.stream[at : at + long])
+
+
+def _hashes(page: Page, host: str, long: int, known: dict[str, int]) -> np.ndarray:
+    """A hash of each window of `long` tokens of a host's page, as signed longs; `known` remembers tokens' hashes."""
+    n = len(page.stream) - long + 1
+    if n < 1:
+        return np.empty(0, np.int64)
+    for w in set(page.stream):
+        if w not in known:
+            known[w] = _short(_digest(w))
+    token = np.fromiter((known[w] for w in page.stream), np.int64, len(page.stream)).view(np.uint64)
+    out = np.full(n, _short(_digest("h", host)), np.int64).view(np.uint64)
+    for k in range(long):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + token[k : k + n]
+    return mix64(out).view(np.int64)
+
+
+def _asking(page: Page, long: int) -> np.ndarray:
+    """Starts of the windows that hold a token of an open block."""
+    if len(page.stream) < long or all(z != OPEN_ZONE for z, _ in page.blocks):
+        return np.empty(0, np.int64)
+    count = np.concatenate(([0], np.cumsum(page.open())))
+    return np.flatnonzero(count[long:] > count[:-long])
 
 
 def host_of(url: Column) -> Column:
@@ -171,49 +228,75 @@ def host_of(url: Column) -> Column:
 
 
 def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", long: int = LONG) -> DataFrame:
-    """One row per input row: the id, url, text, n_chars (code points) and n_repeated (tokens in the host's repeated runs).
+    """One row per input row: the id, url, text, n_chars (code points) and n_repeated (tokens that the host's repeated runs take).
 
-    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Rows that share id
-    and url are one page to the search for repeats. Other columns are not read. An empty table gives an empty result.
+    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Rows that share id,
+    url and html are one page to the search for repeats. Other columns are not read. An empty table gives an empty result.
     """
-    pages = df.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html"), host_of(F.col(url_column)).alias("host"))
-    hosts = pages.groupBy("host").agg(F.count("*").alias("n"))
-    total = hosts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # fewer than HEAVY_HOSTS hosts can have more pages than this, so that what is broadcast of them is bounded
-    most = max(BLOCK_PAGES, -(-total // HEAVY_HOSTS))
-    heavy = hosts.filter(F.col("n") > most).select("host", F.ceil(F.col("n") / min(most, HEAVY_PAGES)).alias("parts"))
-    pages = pages.join(F.broadcast(heavy), "host", "left")
-    deal = F.coalesce(F.pmod(F.xxhash64("id", "url"), F.col("parts")), F.lit(0).cast("long"))
-    tasks = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // 20_000))
-    kind = df.schema[id_column].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        chars = 0
-
-        def done() -> pa.RecordBatch:
-            distinct: dict[tuple, int] = {}
-            places = [distinct.setdefault((r["id"], r["url"], r["html"]), len(distinct)) for r in held]
-            found = main_texts([k[2] for k in distinct], long)
-            texts = [found[p] for p in places]
-            out = [pa.array([r["id"] for r in held], id_type), pa.array([r["url"] for r in held], pa.string()), pa.array([t for t, _ in texts], pa.string()), pa.array([len(t) for t, _ in texts], pa.int64()), pa.array([c for _, c in texts], pa.int64())]
-            return pa.RecordBatch.from_arrays(out, names=["id", "url", "text", "n_chars", "n_repeated"])
-
-        key = id_type = None
-        for batch in batches:
-            id_type = batch.schema.field("id").type
-            for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("id", "url", "html", "host", "deal")}
-                now = (row["host"], row["deal"])
-                if held and (now != key or len(held) >= BLOCK_PAGES or chars >= BLOCK_CHARS):
-                    yield done()
-                    held, chars = [], 0
-                key = now
-                held.append(row)
-                chars += len(row["html"] or "")
-        if held:
-            yield done()
-
-    dealt = pages.withColumn("deal", deal).drop("parts").repartition(tasks, "host", "deal").sortWithinPartitions("host", "deal", "id", "url")
-    out = dealt.mapInArrow(run, f"id {kind}, url string, text string, n_chars long, n_repeated long")
+    rows = numbered(df.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")))
+    pages = rows.withColumn("host", host_of(F.col("url")))
+    own = F.unhex(F.md5(F.to_json(F.struct("id", "url", "html")))).alias("page")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "html"):
+            known: dict[str, int] = {}
+            found = [np.empty(0, np.int64)]
+            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                page = Page(text)
+                at = _asking(page, long)
+                if len(at):
+                    found.append(_hashes(page, host, long, known)[at])
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["hash"])
+
+    asked = Bloom.of(pages.select("host", "html").mapInArrow(ask, "hash long"), "hash")
+
+    def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "html"):
+            known: dict[str, int] = {}
+            keys, owners = [], []
+            for host, text, owner in zip(*(part.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
+                page = Page(text)
+                got = {_window(page, host, i, long) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist()}
+                keys += got
+                owners += [owner] * len(got)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary())], names=["key", "page"])
+
+    def answered(found: Bloom):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in text_slices(batches, "html"):
+                keys, places = [], []
+                for k, (host, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
+                    page = Page(text)
+                    got = {_window(page, host, i, long) for i in _asking(page, long).tolist()}
+                    got = [key for key in got if _short(key) in found]
+                    keys += got
+                    places += [k] * len(got)
+                yield pa.RecordBatch.from_arrays([part.column(ROW).take(pa.array(places, pa.int64())), pa.array(keys, pa.binary())], names=[ROW, "key"])
+
+        return run
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "html"):
+            out = []
+            for host, text, keys in zip(*(part.column(c).to_pylist() for c in ("host", "html", "keys")), strict=True):
+                page, there = Page(text), frozenset(keys or ())
+                covered = np.zeros(len(page.stream), bool)
+                for i in _asking(page, long).tolist() if there else ():
+                    if _window(page, host, i, long) in there:
+                        covered[i : i + long] = True
+                out.append(page.text(covered))
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["id", "url", "text", "n_chars", "n_repeated"])
+
+    none = F.lit(None).cast("array<binary>").alias("keys")
+    whole = pages.select("id", "url", "html", "host", none)
+    if asked.words.any():
+        carried = pages.select("host", "html", own).mapInArrow(carry, "key binary, page binary")
+        # only the least and the greatest page travel, so that a window of all pages of a host is no burden to one task
+        several = carried.groupBy("key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a <> b").select("key")
+        several = stored(several)
+        found = Bloom.of(several.select(F.expr(_SHORT).alias("hash")), "hash")
+        shape = f"{ROW} {pages.schema[ROW].dataType.simpleString()}, key binary"
+        flags = pages.select(ROW, "host", "html").mapInArrow(answered(found), shape).join(several, "key").groupBy(ROW).agg(F.collect_set("key").alias("keys"))
+        whole = pages.join(flags, ROW, "left").select("id", "url", "html", "host", "keys")
+    out = whole.mapInArrow(finish, f"id {df.schema[id_column].dataType.simpleString()}, url string, text string, n_chars long, n_repeated long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column} if url_column != id_column else {})

@@ -47,3 +47,19 @@ def test_extract_tables(llm_spark):
     assert by[2] == by[3] == "" and by[None] == "ü <b>" and by[150] == "page 50" and len(by[4]) == 499_999
     assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert html.extract(df.filter("false")).count() == 0
+
+
+def test_extract_equals_brute_force_over_a_whole_host(llm_spark):
+    # 65 and more pages, a page of over 1 MB, and runs that only two far pages share
+    def page(i):
+        shared = "a line of eight words or some more that stands here " * (i % 13 == 0)
+        pair = f"pair {i % 70} of pages far apart share these nine words "
+        return f"<body><div>this very line stands on every page of the host</div><div>own{i} {pair}{shared}tail{i}</div><article>text of {i}</article></body>"
+
+    pages = [page(i) for i in range(140)] + ["<body><div>this very line stands on every page of the host</div><p>" + " ".join(f"w{i}" for i in range(200_000)) + "</p></body>"]
+    for n in (65, len(pages)):
+        some = pages[-n:]
+        rows = [(i, f"http://one.example/{i}", p) for i, p in enumerate(some)] + [(1000, "http://other.example/", pages[0])]
+        got = {r["page_id"]: r["text"] for r in html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert [got[i] for i in range(n)] == [t for t, _ in html.main_texts(some)]
+        assert "this very line" in got[1000] and not any("this very line" in got[i] for i in range(n))
