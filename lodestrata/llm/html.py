@@ -155,6 +155,10 @@ class Page:
         self.words = [b.split(" ") for _, b in self.blocks]
         self.stream = [w for own in self.words for w in own]
 
+    def digest(self) -> bytes:
+        """What pages with equal tokens share."""
+        return _digest(*self.stream)
+
     def open(self) -> np.ndarray:
         """Which tokens stand in open blocks."""
         return np.repeat(np.array([z == OPEN_ZONE for z, _ in self.blocks], bool), [len(own) for own in self.words])
@@ -175,12 +179,17 @@ class Page:
 
 
 def main_texts(pages: list[str | None], long: int = LONG) -> list[tuple[str, int]]:
-    """The main texts of distinct pages of one host, by its suffix array in memory, and how many tokens runs take from each."""
+    """The main texts of one host's pages, by its suffix array in memory, and how many tokens runs take from each.
+
+    Pages with equal tokens count as one.
+    """
     parsed = [Page(p) for p in pages]
     ids: dict[str, int] = {}
-    streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in p.stream), np.int64) for p in parsed]
-    covered = repeated(streams, long) if len(pages) > 1 else [np.zeros(len(s), bool) for s in streams]
-    return [p.text(c) for p, c in zip(parsed, covered, strict=True)]
+    distinct = {p.digest(): p for p in parsed}
+    streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in p.stream), np.int64) for p in distinct.values()]
+    covered = repeated(streams, long) if len(streams) > 1 else [np.zeros(len(s), bool) for s in streams]
+    of = dict(zip(distinct, covered, strict=True))
+    return [p.text(of[p.digest()]) for p in parsed]
 
 
 def _digest(*parts: str) -> bytes:
@@ -230,12 +239,11 @@ def host_of(url: Column) -> Column:
 def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", long: int = LONG) -> DataFrame:
     """One row per input row: the id, url, text, n_chars (code points) and n_repeated (tokens that the host's repeated runs take).
 
-    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Rows that share id,
-    url and html are one page to the search for repeats. Other columns are not read. An empty table gives an empty result.
+    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Pages of
+    a host with equal tokens are one page to the search for repeats, whatever their ids and urls. Other columns are not read. An empty table gives an empty result.
     """
     rows = numbered(df.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")))
     pages = rows.withColumn("host", host_of(F.col("url")))
-    own = F.unhex(F.md5(F.to_json(F.struct("id", "url", "html")))).alias("page")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
@@ -254,11 +262,11 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
         for part in text_slices(batches, "html"):
             known: dict[str, int] = {}
             keys, owners = [], []
-            for host, text, owner in zip(*(part.column(c).to_pylist() for c in ("host", "html", "page")), strict=True):
+            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page = Page(text)
                 got = {_window(page, host, i, long) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist()}
                 keys += got
-                owners += [owner] * len(got)
+                owners += [page.digest()] * len(got)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary())], names=["key", "page"])
 
     def answered(found: Bloom):
@@ -290,7 +298,7 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
     none = F.lit(None).cast("array<binary>").alias("keys")
     whole = pages.select("id", "url", "html", "host", none)
     if asked.words.any():
-        carried = pages.select("host", "html", own).mapInArrow(carry, "key binary, page binary")
+        carried = pages.select("host", "html").mapInArrow(carry, "key binary, page binary")
         # only the least and the greatest page travel, so that a window of all pages of a host is no burden to one task
         several = carried.groupBy("key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a <> b").select("key")
         several = stored(several)

@@ -63,3 +63,11 @@ def test_extract_equals_brute_force_over_a_whole_host(llm_spark):
         got = {r["page_id"]: r["text"] for r in html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
         assert [got[i] for i in range(n)] == [t for t, _ in html.main_texts(some)]
         assert "this very line" in got[1000] and not any("this very line" in got[i] for i in range(n))
+
+
+def test_copies_count_as_one_page(llm_spark):
+    story = "<body><div>a story of more than eight words that stands in no article at all</div></body>"
+    rows = [(i, f"http://copies.example/story?utm_source={i}", story) for i in range(130)] + [(200, "http://copies.example/other", "<body><div>quite another page</div></body>")]
+    got = {r["page_id"]: r["text"] for r in html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(130)} == {"a story of more than eight words that stands in no article at all"} and got[200] == "quite another page"
+    assert html.main_texts([r[2] for r in rows]) == [(got[r[0]], 0) for r in rows]
