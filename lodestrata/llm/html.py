@@ -4,11 +4,13 @@ A page becomes a stream of text blocks, each in a zone: content (inside an artic
 headers, footers, sidebars, adverts, forms, comments, what isn't shown) or open (neither). For each host the token streams of
 its pages are concatenated and their suffixes sorted; substrings of LONG tokens or more that occur on two or more distinct
 pages are repeated runs. Furniture goes. Of open blocks the tokens that repeated runs cover go, and unique runs stay. Blocks
-of content stay whole: a sentence that an article shares with another article, or with an advert, is still its text.
+of content stay whole or go whole: a sentence that an article shares with another article, or with an advert, is still its
+text, but a block of LONG tokens or more that stands in the content of SHARE of the host's distinct pages, and of SHARED pages
+at least, is the host's and goes. A page whose content would go altogether keeps it.
 
 Tables don't gather a host's pages: every window of LONG tokens is hashed, distinct pages of a host that have it are counted by
 Spark, and windows found on two or more are joined back to the pages. This finds what the suffix array over the whole host
-would, for hosts of any size. Only windows that some open block of the host asks for are counted; nothing else can remove text.
+would, for hosts of any size. Only windows that some open block of the host asks for are counted, and blocks of content as wholes; nothing else can remove text.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .common import ROW, Bloom, mix64, numbered, stored, text_slices
 
-#: Tokens of a long run.
-LONG = 8
+#: Tokens of a long run; distinct pages of a host, and their part of all, that have a block of content which is the host's own.
+LONG, SHARED, SHARE = 8, 10, 0.5
 
 # Names of elements, and words in class, id and role that mark furniture.
 UNSEEN = frozenset("head title script style noscript template svg canvas iframe object".split())
@@ -163,11 +166,19 @@ class Page:
         """Which tokens stand in open blocks."""
         return np.repeat(np.array([z == OPEN_ZONE for z, _ in self.blocks], bool), [len(own) for own in self.words])
 
-    def text(self, covered: np.ndarray) -> tuple[str, int]:
-        """The main text and how many tokens are taken from it: those of open blocks that are covered."""
+    def wholes(self, host: str, long: int) -> list[tuple[int, bytes]]:
+        """Places and digests of the blocks of content that have `long` tokens or more."""
+        return [(k, _digest("b", host, text)) for k, ((zone, text), own) in enumerate(zip(self.blocks, self.words, strict=True)) if zone == CONTENT_ZONE and len(own) >= long]
+
+    def text(self, covered: np.ndarray, gone: frozenset[int]) -> tuple[str, int]:
+        """The main text and how many tokens are taken from it: covered ones of open blocks, and the content blocks in `gone`."""
+        if all(k in gone for k, (zone, _) in enumerate(self.blocks) if zone == CONTENT_ZONE):
+            gone = frozenset()
         kept, at, taken = [], 0, 0
-        for (zone, text), own in zip(self.blocks, self.words, strict=True):
-            if zone == CONTENT_ZONE:
+        for k, ((zone, text), own) in enumerate(zip(self.blocks, self.words, strict=True)):
+            if k in gone:
+                taken += len(own)
+            elif zone == CONTENT_ZONE:
                 kept.append(text)
             elif zone == OPEN_ZONE:
                 rest = [w for w, c in zip(own, covered[at : at + len(own)].tolist(), strict=True) if not c]
@@ -189,7 +200,9 @@ def main_texts(pages: list[str | None], long: int = LONG) -> list[tuple[str, int
     streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in p.stream), np.int64) for p in distinct.values()]
     covered = repeated(streams, long) if len(streams) > 1 else [np.zeros(len(s), bool) for s in streams]
     of = dict(zip(distinct, covered, strict=True))
-    return [p.text(of[p.digest()]) for p in parsed]
+    pages_with = Counter(key for p in distinct.values() for key in {key for _, key in p.wholes("", long)})
+    common = {key for key, n in pages_with.items() if n >= SHARED and n >= SHARE * len(distinct)}
+    return [p.text(of[p.digest()], frozenset(k for k, key in p.wholes("", long) if key in common)) for p in parsed]
 
 
 def _digest(*parts: str) -> bytes:
@@ -257,17 +270,21 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["hash"])
 
     asked = Bloom.of(pages.select("host", "html").mapInArrow(ask, "hash long"), "hash")
+    some_ask = bool(asked.words.any())
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             known: dict[str, int] = {}
-            keys, owners = [], []
+            out: list[tuple[str, str | None, bytes, bytes]] = []
             for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
                 page = Page(text)
-                got = {_window(page, host, i, long) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist()}
-                keys += got
-                owners += [page.digest()] * len(got)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(owners, pa.binary())], names=["key", "page"])
+                own = page.digest()
+                out.append(("page", host, b"", own))
+                out += [("block", host, key, own) for key in {key for _, key in page.wholes(host, long)}]
+                if some_ask:
+                    out += [("window", None, key, own) for key in {_window(page, host, i, long) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist()}]
+            kinds = (pa.string(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["kind", "host", "key", "page"])
 
     def answered(found: Bloom):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +292,7 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
                 keys, places = [], []
                 for k, (host, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
                     page = Page(text)
-                    got = {_window(page, host, i, long) for i in _asking(page, long).tolist()}
+                    got = {_window(page, host, i, long) for i in _asking(page, long).tolist()} | {key for _, key in page.wholes(host, long)}
                     got = [key for key in got if _short(key) in found]
                     keys += got
                     places += [k] * len(got)
@@ -292,19 +309,22 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
                 for i in _asking(page, long).tolist() if there else ():
                     if _window(page, host, i, long) in there:
                         covered[i : i + long] = True
-                out.append(page.text(covered))
+                out.append(page.text(covered, frozenset(k for k, key in page.wholes(host, long) if key in there) if there else frozenset()))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["id", "url", "text", "n_chars", "n_repeated"])
 
-    none = F.lit(None).cast("array<binary>").alias("keys")
-    whole = pages.select("id", "url", "html", "host", none)
-    if asked.words.any():
-        carried = pages.select("host", "html").mapInArrow(carry, "key binary, page binary")
-        # only the least and the greatest page travel, so that a window of all pages of a host is no burden to one task
-        several = carried.groupBy("key").agg(F.min("page").alias("a"), F.max("page").alias("b")).filter("a <> b").select("key")
-        several = stored(several)
-        found = Bloom.of(several.select(F.expr(_SHORT).alias("hash")), "hash")
+    carried = pages.select("host", "html").mapInArrow(carry, "kind string, host string, key binary, page binary").distinct()
+    n, kind = F.col("n"), F.col("kind")
+    # pages of a key are told apart before they are counted, so that a key of all pages of a host is no burden to one task
+    counts = stored(carried.groupBy("kind", "host", "key").agg(F.count("*").alias("n")).filter(((kind == "window") & (n > 1)) | (n >= SHARED)))
+    sizes = counts.filter(kind == "page").select("host", n.alias("total"))
+    common = counts.filter(kind == "block").join(sizes, "host").filter(n >= SHARE * F.col("total")).select("key")
+    several = stored(counts.filter(kind == "window").select("key").unionByName(common))
+    found = Bloom.of(several.select(F.expr(_SHORT).alias("hash")), "hash")
+    if found.words.any():
         shape = f"{ROW} {pages.schema[ROW].dataType.simpleString()}, key binary"
         flags = pages.select(ROW, "host", "html").mapInArrow(answered(found), shape).join(several, "key").groupBy(ROW).agg(F.collect_set("key").alias("keys"))
         whole = pages.join(flags, ROW, "left").select("id", "url", "html", "host", "keys")
+    else:
+        whole = pages.select("id", "url", "html", "host", F.lit(None).cast("array<binary>").alias("keys"))
     out = whole.mapInArrow(finish, f"id {df.schema[id_column].dataType.simpleString()}, url string, text string, n_chars long, n_repeated long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column} if url_column != id_column else {})

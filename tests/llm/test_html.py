@@ -71,3 +71,14 @@ def test_copies_count_as_one_page(llm_spark):
     got = {r["page_id"]: r["text"] for r in html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert {got[i] for i in range(130)} == {"a story of more than eight words that stands in no article at all"} and got[200] == "quite another page"
     assert html.main_texts([r[2] for r in rows]) == [(got[r[0]], 0) for r in rows]
+
+
+def test_a_notice_inside_of_articles_goes(llm_spark):
+    notice = "All of our texts are free to read and may be shared by anyone."
+    few = "This sentence of more than eight words stands on a few pages."
+    pages = [f"<article><p>{notice}</p><p>story {i} of this host</p>{f'<p>{few}</p>' * (i % 5 == 0)}</article>" for i in range(80)] + [f"<main><p>{notice}</p></main>"]
+    rows = [(i, f"http://notice.example/{i}", p) for i, p in enumerate(pages)] + [(1000, "http://other.example/", pages[1])]
+    got = {r["page_id"]: r["text"] for r in html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "story 1 of this host" and got[5] == f"story 5 of this host\n{few}"
+    assert got[80] == notice and got[1000] == f"{notice}\nstory 1 of this host"
+    assert [got[i] for i in range(81)] == [t for t, _ in html.main_texts(pages)]
