@@ -327,9 +327,9 @@ w(node, here, path) AS (SELECT node, node, [node] FROM n UNION ALL SELECT w.node
 last AS (SELECT node, arg_max(here, len(path)) AS here, max(len(path)) - 1 AS hops FROM w GROUP BY node)
 SELECT l.node, CASE WHEN e.node IS NULL THEN l.here END AS resolved, CASE WHEN e.node IS NULL THEN l.hops END AS hops, e.node IS NOT NULL AS is_cycle FROM last l LEFT JOIN e ON e.node = l.here""")
 def redirects_asof(spark: SparkSession, d: str) -> DataFrame:
-    """Where redirects as of a time end; null and flagged on a cycle."""
+    """Where redirects as of a time end, after any number of hops; null and flagged on a cycle."""
     nodes = table(spark, d, "events").select(F.col("event_id").alias("node"))
-    out = graph.resolve(_redirects(spark, d), nodes, 1000)
+    out = graph.resolve(_redirects(spark, d), nodes, None)
     return out.select("node", "resolved", F.col("hops").cast("bigint").alias("hops"), "is_cycle")
 
 

@@ -63,19 +63,25 @@ def bottom_roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return reached.join(named, "b").select(F.col("a").alias("node"), "root").distinct().join(nodes.select("node").distinct(), "node", "left_semi")
 
 
-def resolve(redirects: DataFrame, nodes: DataFrame, most_hops: int = 16) -> DataFrame:
+def resolve(redirects: DataFrame, nodes: DataFrame, most_hops: int | None = 16) -> DataFrame:
     """Each node with where its redirects (node, target; one for each node) end: node, resolved, hops, is_cycle.
 
     Pointers double: after round k a pointer has gone 2^k hops, so that few joins follow long chains. resolved is null on a
-    cycle and after more than most_hops hops.
+    cycle and after more than most_hops hops; without most_hops chains of any length are followed, and only cycles are open.
     """
     jump = cut(redirects.select("node", "target").dropna())
     everyone = nodes.select("node").unionByName(jump.select("node")).unionByName(jump.select(F.col("target").alias("node"))).distinct()
-    state = everyone.join(jump, "node", "left").select("node", F.coalesce("target", "node").alias("at"), F.col("target").isNotNull().cast("int").alias("hops"))
-    for _ in range(most_hops.bit_length()):
-        ahead = state.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("hops").alias("_h"))
-        state = cut(state.join(ahead, state.at == F.col("_n"), "left").select("node", F.coalesce("_at", "at").alias("at"), (F.col("hops") + F.coalesce("_h", F.lit(0))).alias("hops")))
-    open_ = state.join(jump.select(F.col("node").alias("at")), "at", "left_semi").select("node", F.lit(True).alias("_open"))
-    done = state.join(nodes.select("node").distinct(), "node", "left_semi").join(open_, "node", "left")
-    stuck = F.coalesce("_open", F.lit(False)) | (F.col("hops") > most_hops)
+    # open after k rounds: 2^k hops or more from the end. While a chain is open, its node at just 2^k hops is closed by the
+    # next round; a round that closes none leaves only nodes that never end.
+    there = F.col("target").isNotNull()
+    state = cut(everyone.join(jump, "node", "left").select("node", F.coalesce("target", "node").alias("at"), there.cast("bigint").alias("hops"), there.alias("open")))
+    left, reach = state.filter("open").count(), 1
+    while left and (most_hops is None or reach <= most_hops):
+        ahead = state.select(F.col("node").alias("_n"), F.col("at").alias("_at"), F.col("hops").alias("_h"), F.col("open").alias("_open"))
+        state = cut(state.join(ahead, state.at == F.col("_n")).select("node", F.col("_at").alias("at"), (F.col("hops") + F.col("_h")).alias("hops"), F.col("_open").alias("open")))
+        before, left, reach = left, state.filter("open").count(), 2 * reach
+        if left == before:
+            break
+    done = state.join(nodes.select("node").distinct(), "node", "left_semi")
+    stuck = F.col("open") if most_hops is None else F.col("open") | (F.col("hops") > most_hops)
     return done.select("node", F.when(~stuck, F.col("at")).alias("resolved"), F.when(~stuck, F.col("hops")).alias("hops"), stuck.alias("is_cycle"))

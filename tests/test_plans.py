@@ -57,6 +57,36 @@ def test_resolve_long_chain_and_cycle(spark):
     assert got == {0: (10, False), 20: (None, True), 99: (99, False)}
 
 
+def test_redirects_follow_a_hot_users_views_to_the_end(spark, tmp_path):
+    from lodestrata.operators import derivations
+
+    # one user with 3000 views, one with errors (a cycle), in the columns and types of the given table
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows = spark.range(3003).selectExpr("id AS event_id", "if(id < 3000, 1L, 2L) AS user_id", "if(id < 3000, 'view', 'error') AS event_type", "timestamp '2000-01-01' AS ts")
+    rows = rows.select(*[(rows[c] if c in rows.columns else F.lit(None)).cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    got = {r["node"]: (r["resolved"], r["hops"], r["is_cycle"]) for r in derivations.redirects_asof(spark, str(tmp_path)).collect()}
+    assert got == {i: (0, i, False) for i in range(3000)} | {i: (None, None, True) for i in range(3000, 3003)}
+
+
+def test_resolve_is_exact_without_a_cap(spark):
+    # chains of lengths about powers of two, a loop of one, a loop of three and a tail into it
+    pairs = [(1000 * n + i, 1000 * n + i + 1) for n in (1, 2, 3, 4, 5, 7, 8, 9) for i in range(n)] + [(1, 1), (10, 11), (11, 12), (12, 10), (20, 21), (21, 10)]
+    target = dict(pairs)
+    nodes = sorted({x for p in pairs for x in p} | {99})
+    frame = spark.createDataFrame(pairs, "node long, target long")
+    for cap in (None, 4, 7):
+        want = {}
+        for n in nodes:
+            at, hops = n, 0
+            while at in target and hops <= 50:
+                at, hops = target[at], hops + 1
+            stuck = at in target or (cap is not None and hops > cap)
+            want[n] = (None, None, True) if stuck else (at, hops, False)
+        got = {r["node"]: (r["resolved"], r["hops"], r["is_cycle"]) for r in graph.resolve(frame, spark.createDataFrame([(n,) for n in nodes], "node long"), cap).collect()}
+        assert got == want
+
+
 def test_bottom_roots(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (4, 4), (5, 6)], "src bigint, dst bigint")
     nodes = spark.createDataFrame([(i,) for i in range(1, 8)], "node bigint")
