@@ -20,6 +20,8 @@ from .common import SMALL_SLICE, text_slices
 UNDETERMINED = "und"
 #: N-grams of a profile, and documents of a language that profiles are learned from at most.
 PROFILE, TRAINING = 300, 4000
+#: Distinct n-grams from which on a text's distance is judged; documents that a floor of scores is learned from at least.
+JUDGED, FLOOR_ROWS = 32, 100
 
 _OWN, _SYMBOLS = 0x250, 1 << 10
 
@@ -87,10 +89,14 @@ class Profiles:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: 1 less the distance as a part of the greatest possible; `und` and 0 without a letter."""
+        return self.measure(texts)[:2]
+
+    def measure(self, texts: list[str | None]) -> tuple[list[str], list[float], list[int]]:
+        """Language and score of each text, as predicted, and the n-grams of its list."""
         place, code, rank = ranked(texts, self.length)
         n = np.bincount(place, minlength=len(texts))
         if not self.languages:
-            return [UNDETERMINED] * len(texts), [0.0] * len(texts)
+            return [UNDETERMINED] * len(texts), [0.0] * len(texts), n.tolist()
         distance = np.zeros((len(self.languages), len(texts)))
         for k, (codes, ranks) in enumerate(zip(self.codes, self.ranks, strict=True)):
             at = np.minimum(np.searchsorted(codes, code), len(codes) - 1)
@@ -98,7 +104,7 @@ class Profiles:
             distance[k] = np.bincount(place, out, len(texts))
         best = distance.argmin(0)
         score = 1 - distance[best, np.arange(len(texts))] / np.maximum(1, n * self.length)
-        return [self.languages[b] if c else UNDETERMINED for b, c in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0).tolist()
+        return [self.languages[b] if c else UNDETERMINED for b, c in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0).tolist(), n.tolist()
 
 
 def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", length: int = PROFILE, most: int = TRAINING) -> Profiles:
@@ -153,14 +159,14 @@ def identify(df: DataFrame, profiles: Profiles, id_column: str = "doc_id", text_
 def filter_rows(df: DataFrame, profiles: Profiles, text_column: str = "text", least: float = 0.0) -> DataFrame:
     """The rows whose text is in one of the profiles' languages, at a score of `least` or more; all columns, nothing shuffled.
 
-    Null texts and texts without a letter go. Without profiles nothing is known of languages, and only those go.
+    Texts of fewer than JUDGED n-grams tell too little for a score to reject them. Null texts and texts without a letter go. Without profiles nothing is known of languages, and only those go.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_column, SMALL_SLICE):
             texts = part.column(text_column).to_pylist()
             if profiles.languages:
-                keep = [lang != UNDETERMINED and score >= least for lang, score in zip(*profiles.predict(texts), strict=True)]
+                keep = [lang != UNDETERMINED and (score >= least or n < JUDGED) for lang, score, n in zip(*profiles.measure(texts), strict=True)]
             else:
                 keep = [any(map(str.isalpha, t or "")) for t in texts]
             yield part.filter(pa.array(keep, pa.bool_()))
@@ -168,6 +174,28 @@ def filter_rows(df: DataFrame, profiles: Profiles, text_column: str = "text", le
     return df.mapInArrow(run, df.schema)
 
 
+def floor(df: DataFrame, profiles: Profiles, most: int = TRAINING) -> float:
+    """A score below which a text is far outside of every language, from about `most` labelled rows (doc_id, lang, text).
+
+    It lies as far below the score that all but a thousandth of them reach as that lies below their median; 0, which
+    rejects nothing, without profiles or enough rows.
+    """
+    rows = df.select("doc_id", "lang", "text").dropna(subset=["lang", "text"])
+    total = df.select("lang").dropna().count()
+    if not profiles.languages or not total:
+        return 0.0
+    # by id and text, so that copies are drawn one by one
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("floor")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, budget=SMALL_SLICE):
+            _, scores, n = profiles.measure(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(scores, n, strict=True) if k >= JUDGED], pa.float64())], names=["score"])
+
+    got = rows.filter(chance < min(1.0, most / total)).select("text").mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.expr("percentile(score, array(0.001, 0.5))").alias("q")).first()
+    return max(0.0, 2 * got["q"][0] - got["q"][1]) if got["n"] >= FLOOR_ROWS else 0.0
+
+
 def held_out(id_column: str = "doc_id"):
     """Whether a row is kept from training: crc32 of its id as text is divisible by 5; a null id is."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(True))

@@ -29,3 +29,23 @@ def test_stages(llm_spark, sf_dir, tmp_path):
         if name == "packing":
             assert {r["doc_id"] for r in out.collect()} == {r["doc_id"] for r in docs.collect()}
         docs = out
+
+
+def test_language_stage_rejects_what_is_in_no_language(llm_spark):
+    import base64
+    import random
+
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    d, draw = "/root/testdata/sf0.01", random.Random(5)
+    docs = llm_spark.read.parquet(f"{d}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+
+    def words(letters, n):
+        return " ".join("".join(draw.choice(letters) for _ in range(draw.randint(2, 10))) for _ in range(n))
+
+    foreign = [words("абвгдежзийклмнопрст", 60) for _ in range(5)] + [words("abcdefghijklmnopqrstuvwxyz", 60) for _ in range(5)] + [base64.b64encode(draw.randbytes(300)).decode() for _ in range(5)]
+    planted = llm_spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(foreign)], "doc_id long, text string")
+    planted = planted.select(*[(F.col(c) if c in planted.columns else F.lit(None)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
+    kept = {r["doc_id"] for r in corpus_pipeline.language_filter(llm_spark, docs.unionByName(planted), d).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
