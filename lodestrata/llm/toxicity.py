@@ -1,8 +1,9 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read a text's words as classes: insults and threats emit their weight, a target raises it, negation
-within three words and reported speech lower it. Their composition is one table of product states, run over the clauses that
-hold an insult or a threat. Matched clauses, not words, are counted and weighed; a logistic curve over a few sums of them
+Four small transducers read a text's words as classes: a threat counts with a target in its clause, a target raises weights,
+negation within three words and reported speech lower them. Their composition is one table of product states, run over the
+clauses that hold an insult or a threat. Insults have no transducer: a lookup of stems finds them, and their learned weights are
+scaled by the product state's weight. Matched clauses, not words, are counted and weighed; a logistic curve over a few sums of them
 gives the score. Insult stems and the curve are learned from labelled rows; the other word lists are fixed.
 """
 
