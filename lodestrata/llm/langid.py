@@ -108,18 +108,21 @@ class Profiles:
 
 
 def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", length: int = PROFILE, most: int = TRAINING) -> Profiles:
-    """Profiles from labelled rows: of each language at most about `most` documents, drawn by a hash of the text.
+    """Profiles from labelled rows: of each language about `most` distinct texts at most, drawn by a hash of the text.
 
-    Rows with a null language or text are left out. The driver gets `length` n-grams a language. Without rows there are no
+    Copies of a text count once, and every language with a text has a profile.     Rows with a null language or text are left out. The driver gets `length` n-grams a language. Without rows there are no
     profiles, and everything is predicted as undetermined.
     """
     rows = df.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
-    # languages alone are counted, so that this reads no text
-    there = {r["lang"]: r["n"] for r in df.select(F.col(lang_column).alias("lang")).dropna().groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    hashed = rows.withColumn("hash", F.pmod(F.xxhash64("text", F.lit("profiles")), F.lit(1 << 53)))
+    # hashes alone are shuffled: each distinct text counts once, and the least hash of a language is always drawn
+    distinct = hashed.select("lang", "hash").distinct()
+    there = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()
     if not there:
         return Profiles([], [], [], length)
-    rate = F.create_map(*[x for k, n in there.items() for x in (F.lit(k), F.lit(min(1.0, most / n)))])
-    chance = F.pmod(F.xxhash64("text", F.lit("profiles")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    bound = F.create_map(*[x for r in there for x in (F.lit(r["lang"]), F.lit(max(r["least"], int(min(1.0, most / r["n"]) * (1 << 53)))))])
+    # at most about `most` texts of a language are shuffled as such; copies are dropped as they are read, then over all tasks
+    drawn = hashed.filter(F.col("hash") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "hash"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=SMALL_SLICE):
@@ -129,7 +132,7 @@ def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", l
                 codes, which = np.unique(code, return_inverse=True)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(np.bincount(which, n, len(codes)).astype(np.int64))], names=["lang", "code", "n"])
 
-    counts = rows.filter(chance < F.element_at(rate, F.col("lang"))).mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counts = drawn.select("lang", "text").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     by = (F.desc("n"), F.asc("code"))
     # the best of each 64th first, so that no task gets all n-grams of a language
     salted = Window.partitionBy("lang", F.pmod(F.xxhash64("code"), F.lit(64))).orderBy(*by)

@@ -463,3 +463,14 @@ def test_numbered_rows_of_files_and_of_others(llm_spark, documents, rows):
 def test_release_deletes_what_was_written(llm_spark):
     kept = stored(llm_spark.range(3))
     assert kept.count() == 3 and release(llm_spark) >= 1 and release(llm_spark) == 0
+
+
+def test_profiles_are_learned_from_distinct_texts(llm_spark):
+    # 2000 copies of each of two texts, and 4 texts once: whatever is drawn, both languages have a profile, and copies count once
+    rows = [("aa", t) for t in ("abba baab", "bbaa aabb") for _ in range(2000)] + [("bb", f"xyz{k} zyx") for k in "efgh"]
+    df = llm_spark.createDataFrame(rows, "lang string, text string")
+    once = langid.learn(llm_spark.createDataFrame(sorted(set(rows)), "lang string, text string"))
+    assert langid.learn(df, most=1).languages == once.languages == ["aa", "bb"]
+    got = langid.learn(df, most=2)
+    aa = langid.learn(llm_spark.createDataFrame(sorted(set(rows[:4000])), "lang string, text string"))
+    assert np.array_equal(got.codes[0], aa.codes[0]) and np.array_equal(got.ranks[0], aa.ranks[0])
