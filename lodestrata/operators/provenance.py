@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import dialect, lineage, results
+from ..plans.store import shared_dir
 from ..queries import query, table
 
 
 def _root(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or f'file://{tempfile.mkdtemp()}'}/results-{uuid.uuid4().hex}"
+    return shared_dir(spark, "results-")
 
 
 @query("lineage_join", """

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -13,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.ingestion import TURNS_SQL
+from ..plans.store import shared_dir
 from ..queries import query, table
 from ..ship import ship
 
@@ -62,8 +61,7 @@ def assemble(stream: DataFrame) -> DataFrame:
 
 
 def folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return shared_dir(spark, "stream-")
 
 
 def drain(stream: DataFrame, path: str) -> DataFrame:

@@ -222,3 +222,30 @@ def test_damaged_records_are_kept_apart(spark, tmp_path):
     (tmp_path / "r.jsonl").write_text('{"record_key":"a","seq":1}\n{oops\n{"record_key":"b","seq":"x"}\n')
     rows = records.read(spark, f"file://{tmp_path}/r.jsonl").cache().collect()
     assert [(r["record_key"], r["damaged"] is not None) for r in rows] == [("a", False), (None, True), ("b", True)]
+
+
+def test_intermediate_folders_are_shared_and_deleted(spark, tmp_path):
+    from lodestrata.plans import store
+
+    class Conf:
+        def get(self, name, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            master, applicationId = "spark://host:7077", "app-on-a-cluster"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        store.shared_dir(Session)
+    Session.sparkContext.master = "local[2]"
+    assert store.shared_dir(Session).startswith("file:///")
+
+    before = store.written(spark)
+    df = store.stored(spark.range(5))
+    (path,) = [p for p in store.written(spark) if p not in before]
+    assert df.count() == 5 and store.release(spark, [path]) == 1 and store.written(spark) == before
+    import os
+
+    assert not os.path.exists(path.removeprefix("file://"))
