@@ -32,5 +32,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .operators import derivations, guarded, ingestion, provenance, relational, rollups, windows  # noqa: F401
+    from .operators import derivations, guarded, ingestion, provenance, relational, rollups, spoken, windows  # noqa: F401
     from .streaming import assembly  # noqa: F401

@@ -172,6 +172,19 @@ REFUSED = {
     "SELECT sum(o_custkey) OVER (ORDER BY o_orderkey) AS x FROM orders": "window_frame",
     "SELECT lag(o_custkey, 65) OVER (ORDER BY o_orderkey) AS x FROM orders": "structural_integer",
     "SELEC o_custkey": "syntax",
+    "SELECT CAST(o_custkey AS STRING) AS x FROM orders": "cast",
+    "SELECT CAST(o_orderdate AS DATE) AS x FROM orders": "cast",
+    "SELECT sum(count(*)) AS x FROM orders GROUP BY o_custkey": "phase",
+    "SELECT sum(avg(o_custkey)) AS x FROM orders": "phase",
+    "SELECT c_custkey FROM customer WHERE EXISTS (SELECT o.o_custkey FROM orders o JOIN customer d ON d.c_custkey = o.o_custkey)": "exists_shape",
+    "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders GROUP BY o_custkey)": "in_shape",
+    "SELECT c_custkey FROM customer WHERE c_custkey = (SELECT max(o_custkey) AS m FROM orders)": "scalar_subquery",
+    "SELECT o_custkey FROM orders OFFSET 20000": "structural_integer",
+    "SELECT o_custkey AS a FROM orders UNION ALL SELECT c_custkey AS a, c_name AS b FROM customer": "set_columns",
+    "SELECT o_custkey AS a FROM input.x": "input_alias",
+    "WITH RECURSIVE p(n, d) AS (SELECT o_custkey AS n, 0 AS d FROM orders UNION ALL SELECT p.n AS n, p.d + 1 AS d FROM p WHERE p.d < 4) SELECT n FROM p": "recursion",
+    "SELECT o_custkey AS x FROM orders AS " + "a" * 64: "identifier",
+    "SELECT " + ", ".join(f"row_number() OVER (ORDER BY o_custkey) AS x{i}" for i in range(17)) + " FROM orders": "composition_budget",
 }
 
 
@@ -185,7 +198,7 @@ def test_dialect_refuses(spark, sql):
 def test_dialect_admits_and_reports(spark):
     a = dialect.admit(spark, "SELECT o_custkey AS k, count(*) AS n FROM orders WHERE o_totalprice > :p GROUP BY o_custkey ORDER BY n DESC LIMIT 7", {"p": 1}, {"orders"})
     assert (a.outputs, a.limit, a.parameters, a.relations) == (["k", "n"], 7, ["p"], ["orders"])
-    assert a.order == [("n", False, False)] and a.coverage == "explicit_limit"
+    assert a.order == [("n", False, True)] and a.coverage == "explicit_limit"
     kinds = catalog.relations()["statements"].kind
     joined = "SELECT s.text AS t FROM statements s JOIN observations o ON {}"
     dialect.admit(spark, joined.format("s.bead_id = o.bead_id"), {}, {"statements", "observations"}, kind_of=kinds)
@@ -196,6 +209,81 @@ def test_dialect_admits_and_reports(spark):
         dialect.admit(spark, "SELECT o_custkey FROM orders", {"p": 1}, {"orders"})
 
 
+@pytest.fixture
+def garden(spark):
+    """Six observations, five statements and a graph with a cycle, as small relations."""
+    make = spark.createDataFrame
+    views = {
+        "obs": make([(i, "orchard" if i < 4 else None, i % 2 == 0) for i in range(1, 7)], "bead bigint, title string, flag boolean"),
+        "said": make([(i, b) for i, b in enumerate([1, 1, 2, 3, 4], 1)], "statement bigint, bead bigint"),
+        "edge": make([(1, 2), (1, 3), (2, 4), (3, 4), (4, 1), (1, 5)], "src bigint, dst bigint"),
+    }
+    for name, df in views.items():
+        df.createOrReplaceTempView(name)
+    return lambda sql, values=None, **more: [tuple(r) for r in dialect.run(spark, sql, values or {}, set(views), **more).collect()]
+
+
+def test_dialect_joins_windows_and_sets(garden):
+    for kind, n in (("INNER", 5), ("LEFT", 7), ("RIGHT", 5), ("FULL", 7)):
+        assert len(garden(f"SELECT o.bead AS b, s.statement AS t FROM obs o {kind} JOIN said s ON s.bead = o.bead")) == n
+    assert sorted(garden("SELECT bead FROM obs o WHERE NOT EXISTS (SELECT s.bead FROM said s WHERE s.bead = o.bead)")) == [(5,), (6,)]
+    ranks = garden("SELECT rank() OVER (ORDER BY title) AS r, dense_rank() OVER (ORDER BY title) AS d, count(*) OVER (ORDER BY bead ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS m, bead FROM obs ORDER BY bead")
+    assert [r[:3] for r in ranks] == [(1, 1, 1), (1, 1, 2), (1, 1, 2), (4, 2, 2), (4, 2, 2), (4, 2, 2)]
+    running = garden("SELECT bead, sum(count(*)) OVER (ORDER BY bead ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM said GROUP BY bead ORDER BY bead")
+    assert [int(n) for _, n in running] == [2, 3, 4, 5]
+    left, right = "SELECT title FROM obs WHERE title IS NULL", "SELECT title FROM obs WHERE bead = :b"
+    for op, n in (("EXCEPT", 0), ("EXCEPT ALL", 2), ("INTERSECT", 1), ("INTERSECT ALL", 1), ("UNION", 1), ("UNION ALL", 4)):
+        assert len(garden(f"{left} {op} {right}", {"b": 4})) == n
+
+
+def test_dialect_meaning(garden, spark):
+    from decimal import Decimal
+
+    assert garden("SELECT bead / :two AS q, -bead / :two AS r FROM obs WHERE bead = :b", {"two": 2, "b": 5}) == [(2, -2)]
+    assert garden("SELECT sum(bead) AS s, avg(bead) AS a, sum(bead) FILTER (WHERE bead > :b) AS n FROM obs", {"b": 9}) == [(Decimal(21), Decimal("3.5"), None)]
+    assert garden("SELECT CAST(n AS BIGINT) AS i FROM input.prior ORDER BY id", inputs={"prior": spark.sql("SELECT * FROM VALUES (1, 2.5BD), (2, -3.5BD) AS t(id, n)")}) == [(3,), (-4,)]
+    assert garden("SELECT upper(title) AS t FROM input.x WHERE title NOT ILIKE :p AND title ILIKE :q", {"p": "%É%", "q": "STRASSE%"}, inputs={"x": spark.sql("SELECT 'strasse é' AS title")}) == [("STRASSE é",)]
+    assert [t for (t,) in garden("SELECT title FROM obs ORDER BY title DESC")][:3] == [None] * 3
+    assert [t for (t,) in garden("SELECT title FROM obs ORDER BY title DESC NULLS LAST")][:3] == ["orchard"] * 3
+    assert garden("SELECT bead FROM obs WHERE bead = ANY(:a) AND flag = :t AND (title = :x OR title IS NULL)", {"a": [1, 2, 4], "t": True, "x": "it's \\ '"}) == [(4,)]
+    for sql, construct in (("SELECT bead AS a FROM obs UNION ALL SELECT title AS a FROM obs", "set_types"), ("SELECT CAST(title AS BIGINT) AS a FROM obs", "cast"), ("SELECT bead AS b FROM obs JOIN said ON obs.bead = said.bead", "ambiguous_column"), ("SELECT nothing AS b FROM obs", "unknown_column")):
+        with pytest.raises(dialect.Refusal, match=construct):
+            garden(sql)
+
+
+def test_dialect_recursion(garden, spark):
+    from lodestrata.plans.lowered import Recursion
+
+    walk = """WITH RECURSIVE w(depth, node) AS (SELECT 0 AS depth, bead AS node FROM obs WHERE bead = ANY(:a)
+        UNION ALL SELECT w.depth + 1 AS depth, e.dst AS node FROM w JOIN edge AS e ON e.src = w.node WHERE w.depth < :most) {} SELECT depth, node{} FROM w"""
+    cycle = walk.format("CYCLE node SET again USING path", ", again")
+    got = sorted(garden(cycle, {"a": [1], "most": 3}, recursion=Recursion("w", "depth", "node", 3)))
+    assert got == [(0, 1, False), (1, 2, False), (1, 3, False), (1, 5, False), (2, 4, False), (2, 4, False), (3, 1, True), (3, 1, True)]
+    fewer = garden(cycle, {"a": [1], "most": 3}, recursion=Recursion("w", "depth", "node", 3, ("e.dst <> 5",)))
+    assert len(fewer) == 7
+    found = dialect.admit(spark, walk.format("", ""), {"a": [1], "most": 3}, {"obs", "edge"}, recursion=Recursion("w", "depth", "node", 3))
+    assert found.coverage == "explicit_depth"
+    for values, rule in (({"a": [1], "most": 4}, Recursion("w", "depth", "node", 3)), ({"a": [1], "most": 9}, Recursion("w", "depth", "node", 9)), ({"a": [1], "most": 3}, Recursion("w", "node", "depth", 3))):
+        with pytest.raises(dialect.Refusal, match="recursion"):
+            garden(walk.format("", ""), values, recursion=rule)
+    with pytest.raises(dialect.Refusal, match="anchors"):
+        garden(walk.format("", ""), {"a": [*range(17)], "most": 3}, recursion=Recursion("w", "depth", "node", 3))
+
+
+def test_dialect_limits_and_anchors(spark):
+    sql = "SELECT o_custkey FROM orders ORDER BY o_custkey LIMIT :n OFFSET :m"
+    found = dialect.admit(spark, sql, {"n": 5, "m": 2}, {"orders"})
+    assert (found.limit, found.offset, found.coverage) == (5, 2, "explicit_limit")
+    assert dialect.admit(spark, "SELECT o_custkey FROM orders ORDER BY o_custkey OFFSET 3", {}, {"orders"}).coverage is None
+    for n, m in ((-1, 0), (1, 10001), ("x", 0), (True, 0)):
+        with pytest.raises(dialect.Refusal, match="structural_integer"):
+            dialect.admit(spark, sql, {"n": n, "m": m}, {"orders"})
+    kinds, one = catalog.relations()["statements"].kind, "SELECT text AS t FROM statements WHERE bead_id = :b"
+    assert dialect.admit(spark, one, {"b": "b1"}, {"statements"}, kind_of=kinds, anchors=frozenset({"b1"})).parameters == ["b"]
+    with pytest.raises(dialect.Refusal, match="reference_parameter"):
+        dialect.admit(spark, one, {"b": "b2"}, {"statements"}, kind_of=kinds, anchors=frozenset({"b1"}))
+
+
 def test_catalog_checks_population(spark):
     known = catalog.relations()
     assert len(known) == 14 and known["statements"].kind("statement_id") == "statement"
