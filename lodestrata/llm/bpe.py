@@ -4,15 +4,19 @@ A short word is a row of part ids and, beside it, a row of the ranks of adjacent
 every row, deletes that boundary, closes the gap and refreshes the two neighbouring ranks; many words advance together in one
 numpy matrix. Words too long for that use a heap over a linked list with the same order of merges. Words that a worker has
 met are kept with their ids, up to a bound; texts are encoded whole and in bounded slices.
+
+Composition, lower case and the classes of letters and numbers depend on a version of Unicode. Runs of characters that have
+been the same in all versions are cut here; any other run between white space goes through the tokenizers library's own
+normaliser and splitter, so that words are the library's whatever Python's tables say.
 """
 
 from __future__ import annotations
 
 import functools
 import heapq
+import itertools
 import json
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -20,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from .common import text_slices
 
@@ -28,26 +33,30 @@ NO_RANK = np.int32(2**31 - 1)
 SHORT, REMEMBERED = 48, 150_000
 
 
+# Ranges of characters that no version of Unicode changes: assigned, composed, with one lower case each.
+STABLE = "\0-\u0239\u023b-\u023d\u023f-\u02ff\u0386\u0388-\u038a\u038c\u038e-\u03a1\u03a3-\u03ce\u0400-\u045f\u2010-\u2027\u2030-\u203e\u20ac\u3001-\u3003\u3041-\u3093\u30a1-\u30f6\u4e00-\u9fa5\uac00-\ud7a3"
+#: White space among these.
+_SPACE = r"\t-\r \x85\xa0"
+_unstable = re.compile(f"[^{STABLE}]").search
+_runs = re.compile(r"[^\t-\r ]+").findall
+
+
 @functools.cache
-def _classes(most: int) -> tuple[str, str]:
-    """The letters and the numbers of Unicode up to a code point, as the inside of a character class."""
+def _classes() -> tuple[str, str]:
+    """The letters and the numbers among the stable characters, as the inside of a character class."""
     out = []
     for kind in "LN":
         runs: list[list[int]] = []
-        for c in range(most + 1):
-            if unicodedata.category(chr(c))[0] == kind:
+        for c in range(0x10000):
+            if not _unstable(chr(c)) and unicodedata.category(chr(c))[0] == kind:
                 if runs and runs[-1][1] == c - 1:
                     runs[-1][1] = c
                 else:
                     runs.append([c, c])
-        out.append("".join(f"\\U{a:08x}-\\U{b:08x}" if a != b else f"\\U{a:08x}" for a, b in runs))
+        out.append("".join(f"\\u{a:04x}-\\u{b:04x}" if a != b else f"\\u{a:04x}" for a, b in runs))
     return out[0], out[1]
 
 
-#: Unicode's white space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-
-
 def _byte_characters() -> list[str]:
     """The character that stands for each byte in a byte-level vocabulary: itself if printable, else the next above 255."""
     kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -74,8 +83,12 @@ class WordBpe:
         self.merged = np.array([vocab[a + b] for a, b in merges], np.int32)
         self.ranks = {(vocab[a] << 16) | vocab[b]: i for i, (a, b) in reversed([*enumerate(merges)])}
         self._hash_table()
-        # without code points above 0xFFFF a class is one table, which is several times faster
-        self.words_of, self.words_of_any = (re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{a}]+|[{b}]|[^{_SPACE}{a}{b}]+").findall for a, b in map(_classes, (0xFFFF, sys.maxunicode)))
+        letters, numbers = _classes()
+        self.words_of = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{_SPACE}{letters}{numbers}]+").findall
+        library = Tokenizer.from_file(path)
+        self.normal = library.normalizer.normalize_str
+        (pattern,) = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
+        self.splits = pre_tokenizers.Split(Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.special_of = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self.known: dict[str, bytes] = {}
 
@@ -184,8 +197,16 @@ class WordBpe:
         """The words of a text without special tokens: composed, lower case, white space dropped."""
         if text.isascii():
             return self.words_of(text.lower())
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return self.words_of(text) if len(text.encode("utf-16-le", "surrogatepass")) == 2 * len(text) else self.words_of_any(text)
+        if not _unstable(text):
+            return self.words_of(text.replace("Σ", "σ").lower())
+        # nothing composes over white space, and no word holds any
+        out: list[str] = []
+        for odd, runs in itertools.groupby(_runs(text), lambda run: _unstable(run) is not None):
+            if odd:
+                out += [w for run in runs for w, _ in self.splits(self.normal(run))]
+            else:
+                out += self.words_of(" ".join(runs).replace("Σ", "σ").lower())
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers; a null text counts as empty."""
@@ -218,7 +239,8 @@ def encode_decode(df: DataFrame, path: str, id_column: str = "doc_id", text_colu
     """One row per input row: id, n_tokens, ids (binary: little-endian unsigned 32-bit), decoded.
 
     Null and empty texts have no ids and decode to the empty text. Repeated rows and null ids stay as they are. Strings of
-    special tokens in a text become these tokens. Other columns are not read. `path` must be readable on every executor.
+    special tokens in a text become these tokens. Other columns are not read. An empty table gives an empty result. `path` must
+    be readable on every executor.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
