@@ -23,15 +23,16 @@ PROFILE, TRAINING = 300, 4000
 #: Distinct n-grams from which on a text's distance is judged; documents that a floor of scores is learned from at least.
 JUDGED, FLOOR_ROWS = 32, 100
 
-_OWN, _SYMBOLS = 0x250, 1 << 10
+#: Bits of a letter's symbol in an n-gram's code, and texts whose n-grams are sorted together.
+BITS, TOGETHER = 18, 256
 
 
 def _symbol_table() -> np.ndarray:
-    """A symbol from 1 to 1023 for each letter: its own for Latin letters, one shared with others beyond; 0 for what is no letter."""
-    table = np.zeros(0x110000, np.uint16)
-    for c in range(0x110000):
-        if chr(c).isalpha():
-            table[c] = c if c < _OWN else _OWN + c % (_SYMBOLS - _OWN)
+    """A symbol of its own for each letter of Unicode, in order from 1; 0 for what is no letter."""
+    letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
+    table = np.where(letter, np.cumsum(letter), 0).astype(np.uint32)
+    if int(table.max()) >> BITS:
+        raise ValueError("more letters than symbols")
     return table
 
 
@@ -39,38 +40,47 @@ _table: list[np.ndarray] = []
 
 
 def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The n-grams of each text as (text's place, n-gram's code, count), ordered by place and code; null is like empty."""
+    """The n-grams of each text as (text's place, n-gram's code, count), ordered by place and code; null is like empty.
+
+    A code holds how many letters the n-gram has and each one's symbol, with 0 for the space beside a word.
+    """
     if not _table:
         _table.append(_symbol_table())
+    found = []
+    for start in range(0, len(texts), TOGETHER):
+        place, code, count = _grams(texts[start : start + TOGETHER])
+        found.append((place + start, code, count))
+    return tuple(np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+
+
+def _grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     parts = [(t or "").lower() + " " for t in texts]
     sizes = np.array([len(p) for p in parts])
     codes = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), "<u4")
     symbol = _table[0][codes].astype(np.uint64)
-    place = np.repeat(np.arange(len(texts), dtype=np.uint64), sizes)
+    place = np.repeat(np.arange(len(texts), dtype=np.uint64) << np.uint64(3 * BITS + 2), sizes)
     # one 0 between words
     keep = np.ones(len(symbol), bool)
     keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0)
     symbol, place = symbol[keep], place[keep]
-    lead = np.uint64(10)
     if len(symbol) and symbol[0]:  # the first word, too, has a 0 before it
         symbol, place = np.concatenate(([np.uint64(0)], symbol)), np.concatenate((place[:1], place))
     one = symbol != 0
-    a = (place[one] << np.uint64(32)) | symbol[one]
-    two = np.uint64(1 << 30) | (symbol[:-1] << lead) | symbol[1:]
-    b = (place[1:] << np.uint64(32)) | two
-    mid = symbol[1:-1] != 0
-    three = np.uint64(1 << 31) | (symbol[:-2] << np.uint64(20)) | (symbol[1:-1] << lead) | symbol[2:]
-    c = ((place[1:-1] << np.uint64(32)) | three)[mid]
+    a = place[one] | symbol[one]
+    two = np.uint64(1 << 3 * BITS) | (symbol[:-1] << np.uint64(BITS)) | symbol[1:]
     # a pair whose second is the 0 before a word belongs to the word before; its text is that of its letter
-    b = np.where(symbol[1:] == 0, (place[:-1] << np.uint64(32)) | two, b)
+    b = np.where(symbol[1:] == 0, place[:-1], place[1:]) | two
+    mid = symbol[1:-1] != 0
+    three = np.uint64(1 << 3 * BITS + 1) | (symbol[:-2] << np.uint64(2 * BITS)) | (symbol[1:-1] << np.uint64(BITS)) | symbol[2:]
+    c = (place[1:-1] | three)[mid]
     keys, counts = np.unique(np.concatenate((a, b, c)), return_counts=True)
-    return (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), counts
+    return (keys >> np.uint64(3 * BITS + 2)).astype(np.int64), (keys & np.uint64((1 << 3 * BITS + 2) - 1)).astype(np.int64), counts
 
 
 def ranked(texts: list[str | None], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each text's most frequent n-grams as (place, code, rank from 0); ties go by code."""
     place, code, count = grams(texts)
-    order = np.argsort((place << 32) + (0xFFFFFFFF - count), kind="stable")
+    order = np.lexsort((-count, place))
     place, code = place[order], code[order]
     starts = np.searchsorted(place, np.arange(len(texts)))
     rank = np.arange(len(place)) - starts[place]
@@ -110,8 +120,8 @@ class Profiles:
 def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", length: int = PROFILE, most: int = TRAINING) -> Profiles:
     """Profiles from labelled rows: of each language about `most` distinct texts at most, drawn by a hash of the text.
 
-    Copies of a text count once, and every language with a text has a profile.     Rows with a null language or text are left out. The driver gets `length` n-grams a language. Without rows there are no
-    profiles, and everything is predicted as undetermined.
+    Copies of a text count once, and every language with a text has a profile. Rows with a null language or text are
+    left out. The driver gets `length` n-grams a language. Without rows there are no profiles, and everything is predicted as undetermined.
     """
     rows = df.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
     hashed = rows.withColumn("hash", F.pmod(F.xxhash64("text", F.lit("profiles")), F.lit(1 << 53)))
@@ -147,7 +157,11 @@ def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", l
 
 
 def identify(df: DataFrame, profiles: Profiles, id_column: str = "doc_id", text_column: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per input row: the id, the columns in `keep`, lang_pred and score. Ids may be null or repeated; other columns are not read."""
+    """One row per input row: the id, the columns in `keep`, lang_pred and score.
+
+    Ids may be null or repeated; other columns are not read. Null texts and texts without a letter are `und`, with score 0. A
+    text of any length is judged by all of it. An empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_column, SMALL_SLICE):
