@@ -1,10 +1,11 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Four small transducers read a text's words as classes: a threat counts with a target in its clause, a target raises weights,
-negation within three words and reported speech lower them. Their composition is one table of product states, run over the
-clauses that hold an insult or a threat. Insults have no transducer: a lookup of stems finds them, and their learned weights are
-scaled by the product state's weight. Matched clauses, not words, are counted and weighed; a logistic curve over a few sums of them
-gives the score. Insult stems and the curve are learned from labelled rows; the other word lists are fixed.
+Five small transducers read a text's words as classes: an insult counts at its stem's learned weight, and less where its
+clause has had one before; a threat counts with a target in its clause; a target raises weights; negation within three words
+and reported speech or mention lower them. Their composition is one table of product states, run over the clauses that hold an
+insult or a threat. Matched clauses, not words, are counted and weighed: a logistic curve over a few sums over clauses gives
+the score. Insult stems and the curve are learned from labelled rows; the other word lists are fixed, as are the ten insults
+that have a prior weight where labels say nothing of them.
 """
 
 from __future__ import annotations
@@ -28,14 +29,14 @@ INSULTS = "idiot moron loser stupid pathetic worthless disgusting scum trash clo
 THREATS = "kill hurt destroy burn beat stab shoot hang".split()
 TARGETS = "you your yours he she him her they them these those people du ihr sie dich euch tu vous toi ils elles tú usted ustedes ellos".split()
 NEGATIONS = "not no never neither nor cannot isn aren wasn don nicht kein keine nie ne pas jamais no nunca jamás".split()
-REPORTS = "said says say wrote writes called calls quoted quotes reported claims claimed allegedly sagte schrieb dit écrit dijo escribió".split()
+REPORTS = "said says say wrote writes called calls quoted quotes reported claims claimed allegedly word words term phrase sagte schrieb wort dit écrit mot dijo escribió palabra".split()
 
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, CLAUSE, SENTENCE = range(8)
 #: Logarithms of what an insult or threat counts where it is negated, reported, or has a target in its clause.
 NEGATED, REPORTED, AIMED = -2.0, -1.0, 0.4
+#: The same for a further insult in a clause.
+FURTHER = -0.5
 PRIOR_WEIGHT = 3.0
-#: From this weight on an insult hardly ever stands in a clean document.
-CERTAIN = 5.5
 #: Labelled documents of either class learned from at most; letters of a stem; documents and evidence that a stem needs.
 TRAINING, STEM, SUPPORT, CHI_SQUARE, LIFT = 4000, (3, 10), 5, 25.0, 1.4
 
@@ -72,6 +73,12 @@ def target() -> Machine:
     return Machine(2, {(0, TARGET): (1, 0.0), (1, CLAUSE): (0, 0.0), (1, SENTENCE): (0, 0.0), (1, INSULT): (1, AIMED), (1, THREAT): (1, AIMED)})
 
 
+def insult() -> Machine:
+    """An insult counts in full where it is the first of its clause."""
+    arcs = {(0, INSULT): (1, 0.0), (1, INSULT): (1, FURTHER)}
+    return Machine(2, arcs | {(1, end): (0, 0.0) for end in (CLAUSE, SENTENCE)})
+
+
 def threat() -> Machine:
     """A threat needs a target in its clause: it counts where the second of the two stands, and alone it is silent."""
     never = -math.inf
@@ -99,10 +106,10 @@ def compose(*machines: Machine) -> tuple[list[list[int]], list[list[float]]]:
     return following, weights
 
 
-_NEXT, _WEIGHT = compose(negation(), reported(), target(), threat())
+_NEXT, _WEIGHT = compose(negation(), reported(), target(), threat(), insult())
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]|[,;:|]")
 _FIXED = {w: kind for words, kind in ((THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT)) for w in words}
-FEATURES = ("one", "clauses", "weight", "certain", "density", "stems", "threats")
+FEATURES = ("one", "clauses", "weight", "strongest", "density", "threats")
 
 
 @dataclass
@@ -110,7 +117,7 @@ class Grammar:
     """Stems of insults with their weights, and the curve's coefficients in the order of FEATURES."""
 
     stems: dict[str, float]
-    curve: list[float] = field(default_factory=lambda: [-4.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.5])
+    curve: list[float] = field(default_factory=lambda: [-4.0, 1.0, 1.0, 0.0, 1.0, 0.5])
 
     def __post_init__(self) -> None:
         words = sorted([*self.stems, *THREATS], key=len, reverse=True)
@@ -126,17 +133,17 @@ class Grammar:
     def _stem(self, word: str) -> str | None:
         return next((word[:n] for n in self._lengths if word[:n] in self.stems), None)
 
-    def clauses(self, text: str) -> list[tuple[int, int, float, int, list[str], float]]:
-        """The matched clauses of a lower-case text: start, end, weight, threats, stems and the weight of the strongest insult."""
-        found, state, start, weight, best, threats, stems, end = [], 0, 0, 0.0, 0.0, 0, [], 0
+    def clauses(self, text: str) -> list[tuple[int, int, float, int]]:
+        """The matched clauses of a lower-case text: start, end, weight and threats."""
+        found, state, start, weight, threats, matched, end = [], 0, 0, 0.0, 0, False, 0
         following, weights = _NEXT, _WEIGHT
         for m in _TOKEN.finditer(text):
             word = m[0]
             if not word[0].isalpha():
                 kind = CLAUSE if word in ",;:|" else SENTENCE
-                if stems or threats:
-                    found.append((start, m.start(), weight, threats, stems, best))
-                    weight, best, threats, stems = 0.0, 0.0, 0, []
+                if matched:
+                    found.append((start, m.start(), weight, threats))
+                    weight, threats, matched = 0.0, 0, False
                 start = m.end()
             else:
                 end = m.end()
@@ -144,16 +151,14 @@ class Grammar:
                 if kind in (OTHER, THREAT):
                     stem = self._stem(word)
                     if stem is not None:
-                        kind = INSULT
-                        own = self.stems[stem] * math.exp(weights[state][INSULT])
-                        stems.append(stem)
-                        weight, best = weight + own, max(best, own)
+                        kind, matched = INSULT, True
+                        weight += self.stems[stem] * math.exp(weights[state][INSULT])
                 if kind in (THREAT, TARGET) and weights[state][kind] > -math.inf:
-                    threats += 1
+                    threats, matched = threats + 1, True
                     weight += PRIOR_WEIGHT * math.exp(weights[state][kind])
             state = following[state][kind]
-        if stems or threats:
-            found.append((start, end, weight, threats, stems, best))
+        if matched:
+            found.append((start, end, weight, threats))
         return found
 
     def match(self, text: str | None) -> tuple[list[tuple], list[float]]:
@@ -164,8 +169,7 @@ class Grammar:
             return [], [1.0] + [0.0] * (len(FEATURES) - 1)
         total = sum(c[2] for c in found)
         words = 1 + low.count(" ") + low.count("\n")
-        certain = max(0.0, max(c[5] for c in found) - CERTAIN)
-        return found, [1.0, math.log1p(len(found)), math.log1p(total), certain, math.log1p(100 * total / words), float(len({s for c in found for s in c[4]})), float(sum(c[3] for c in found))]
+        return found, [1.0, math.log1p(len(found)), math.log1p(total), max(c[2] for c in found), math.log1p(100 * total / words), float(sum(c[3] for c in found))]
 
     def score(self, features: list[float]) -> float:
         z = sum(a * b for a, b in zip(self.curve, features, strict=True))
@@ -175,7 +179,7 @@ class Grammar:
 def _learning_rows(df: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
     """Texts with labels, of either class at most `most`, drawn by a hash of the id; stored.
 
-    Null labels and ids are left out; a document with several labels has the highest.
+    Null labels and ids are left out; a document with several labels has the highest, and a repeated id teaches once.
     """
     known = labels.select(F.col("doc_id"), F.col(label).alias("label")).dropna().filter(~held_out())
     drawn = None
@@ -183,8 +187,9 @@ def _learning_rows(df: DataFrame, labels: DataFrame, label: str, most: int) -> D
         own = known.filter(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         drawn = own if drawn is None else drawn.unionByName(own)
     drawn = stored(drawn.groupBy("doc_id").agg(F.max("label").alias("label")))
-    # at most 2 * most rows of two numbers are broadcast
-    return stored(df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label"))
+    # at most 2 * most rows of two numbers are broadcast; of rows that share an id the one with the least hash teaches
+    texts = df.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("hash", F.xxhash64("text"))
+    return stored(texts.groupBy("doc_id").agg(F.min_by("text", "hash").alias("text"), F.min("label").alias("label")).select("text", "label"))
 
 
 def learn(df: DataFrame, labels: DataFrame, label: str = "toxic", most: int = TRAINING) -> Grammar:
@@ -263,7 +268,7 @@ def score(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_colum
     """One row per input row: the id, score, predicted (1 from 0.5 on), clauses (start, end, weight of each matched clause).
 
     A null or empty text matches nothing and gets the score of such texts. Ids may be null or repeated; other columns are
-    not read.
+    not read. A text of any length is scored by all of it. An empty table gives an empty result.
     """
     shape = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("weight", pa.float64())]))
 
@@ -279,7 +284,10 @@ def score(df: DataFrame, grammar: Grammar, id_column: str = "doc_id", text_colum
 
 
 def filter_rows(df: DataFrame, grammar: Grammar, text_column: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows that score less than `least`, with all columns; nothing is shuffled."""
+    """The rows that score less than `least`, with all columns, whatever their names; nothing is shuffled.
+
+    Null and empty texts have the score of texts that match nothing.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, text_column):
