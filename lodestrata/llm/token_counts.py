@@ -38,7 +38,8 @@ def write_flat(df: DataFrame, path: str, pattern: str, separator: int, id_column
     """Encode texts into flat files: the blocks (file, block, tokens) and the manifest (file, ordinal, id), both stored.
 
     Each task writes one file. A null text counts as empty: its document is a separator alone. The separator must be an id
-    that the encoder never gives.
+    that the encoder never gives. Null and repeated ids are documents like others; other columns are not read. A text of any
+    length is encoded at once, in one task. An empty table gives no blocks and an empty manifest.
     """
     kind = df.schema[id_column].dataType
 
@@ -80,8 +81,8 @@ def write_flat(df: DataFrame, path: str, pattern: str, separator: int, id_column
 def read_flat(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
     """Blocks (file, block, tokens) of binary files of ids, in any store that Spark reads; file is a hash of the path.
 
-    A file is read by one task and must be under 2 GB, as Spark's binary files are; larger ones come in parts. A last piece
-    that is no whole id is left out.
+    A file is read by one task and must be under 2 GB, as Spark's binary files are (a larger one is an error); larger ones come
+    in parts. A file whose last id is not whole is an error.
     """
     step = block * np.dtype(dtype).itemsize
 
@@ -89,7 +90,9 @@ def read_flat(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "
         for batch in batches:
             for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
                 data = memoryview(content.as_buffer())
-                end = len(data) // np.dtype(dtype).itemsize * np.dtype(dtype).itemsize
+                end = len(data)
+                if end % np.dtype(dtype).itemsize:
+                    raise ValueError(f"a flat file of {end} bytes ends inside of an id")
                 for k, at in enumerate(range(0, end, step)):
                     yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(data[at : min(at + step, end)])], pa.binary())], names=["file", "block", "tokens"])
 
