@@ -1,20 +1,25 @@
-"""Main text of web pages by page structure and a host suffix array.
-
-A page becomes a stream of text blocks, each in a zone: content (inside an article or main element), furniture (menus,
-headers, footers, sidebars, adverts, forms, comments, what isn't shown) or open (neither). For each host the token streams of
-its pages are concatenated and their suffixes sorted; substrings of LONG tokens or more that occur on two or more distinct
-pages are repeated runs. Furniture goes. Of open blocks the tokens that repeated runs cover go, and unique runs stay. Blocks
-of content stay whole or go whole: a sentence that an article shares with another article, or with an advert, is still its
-text, but a block of LONG tokens or more that stands in the content of SHARE of the host's distinct pages, and of SHARED pages
-at least, is the host's and goes. A page whose content would go altogether keeps it.
-
-Tables don't gather a host's pages: every window of LONG tokens is hashed, distinct pages of a host that have it are counted by
-Spark, and windows found on two or more are joined back to the pages. This finds what the suffix array over the whole host
-would, for hosts of any size. Only windows that some open block of the host asks for are counted, and blocks of content as wholes; nothing else can remove text.
+"""Main text of web pages by a host suffix array, with page structure where the array doesn't decide.
+
+A page becomes a stream of text blocks. For each host the token streams of its pages are concatenated and their suffixes
+sorted; substrings of LONG tokens or more that occur on two or more distinct pages are repeated runs. How far a run must be
+spread before it goes depends on where it stands. Zones are: content (inside an article or main element), furniture (menus,
+headers, footers, sidebars, adverts, forms, comments, what isn't shown) and open (neither).
+
+Open: tokens that repeated runs cover go, and unique runs stay. Content: a sentence that an article shares with some other
+article, or with an advert, is still its text; but a run of one or more whole sentences, each of LONG tokens or more, or a whole block of so
+many, goes if it stands in the content of SHARE of the host's distinct pages, and of SHARED pages at least: it is the host's.
+A page whose content would go altogether keeps it. Furniture goes by itself, as menus and adverts also change from page to
+page. It is known by elements, roles and whole names of classes and ids, never by other attributes; inside of content only by
+names that are one word of the list, so that no article goes because a part of some name looks like a menu's.
+
+Tables don't gather a host's pages: windows of LONG tokens that hold open text, sentences and blocks are hashed, Spark counts
+the distinct pages of a host that have each, and what is found is joined back to the pages that have it. This finds what the suffix array
+over the whole host would, for hosts of any size.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import html
 import re
@@ -26,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ROW, Bloom, mix64, numbered, stored, text_slices
+from .common import Bloom, bounded, mix64, numbered, parted, stored, text_slices
 
-#: Tokens of a long run; distinct pages of a host, and their part of all, that have a block of content which is the host's own.
+#: Tokens of a long run; distinct pages of a host, and their part of all, that have a sentence of content which is the host's own.
 LONG, SHARED, SHARE = 8, 10, 0.5
 
 # Names of elements, and words in class, id and role that mark furniture.
@@ -39,30 +44,44 @@ RAW = frozenset("script style textarea title noscript iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 MARKS = frozenset("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer header login masthead menu modal nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split())
+NEUTRAL = frozenset("area bar block body bottom box button buttons bt col column container content div end fixed form group head holder inner item items layout left link links list main menu outer page panel position row section site slot space text title top right unit wrap wrapper zone".split())
 MARKED_ROLES = frozenset("banner navigation complementary contentinfo search form menu menubar dialog alert".split())
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_NAME = re.compile(r"[a-z]+")
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])|(?<=[A-Za-z])(?=[0-9])")
+_ENDS_SENTENCE = re.compile(r"[.!?]['\")\]»”]*$").search
 
 CONTENT_ZONE, OPEN_ZONE, FURNITURE_ZONE = 0, 1, 2
 
 
+@functools.lru_cache(4096)
+def _marked(name: str, within: int) -> bool:
+    """Whether a class or id is a name of furniture: one word of MARKS, or outside of content several, besides neutral ones.
+
+    Numbers don't count: sidebar-2 and ad_17 are names, ad-free, has-sidebar and share-price aren't.
+    """
+    parts = [p.lower() for p in _PARTS.split(name) if p and not p.isdigit()]
+    if len(parts) == 1 or within == CONTENT_ZONE:
+        return len(parts) == 1 and parts[0] in MARKS
+    return any(p in MARKS for p in parts) and all(p in MARKS or p in NEUTRAL for p in parts)
+
+
 def _zone(name: str, attributes: str, above: int) -> int:
     """The zone inside an element, from its name, its attributes and the zone around it."""
     if above == FURNITURE_ZONE or name in UNSEEN or name in FURNITURE or (name == "header" and above != CONTENT_ZONE):
         return FURNITURE_ZONE
-    if attributes:
-        for kind, *values in _ATTRIBUTE.findall(attributes):
-            words = _NAME.findall("".join(values).lower())
-            if kind.lower() == "role":
-                if MARKED_ROLES.intersection(words):
-                    return FURNITURE_ZONE
-                if "main" in words:
-                    return CONTENT_ZONE
-            elif name not in ("html", "body") and MARKS.intersection(words):
+    zone = CONTENT_ZONE if name in CONTENT else above
+    for kind, *values in _ATTRIBUTE.findall(attributes) if attributes else ():
+        kind, names = kind.lower(), "".join(values).split()
+        if kind == "role":
+            if MARKED_ROLES.intersection(n.lower() for n in names):
                 return FURNITURE_ZONE
-    return CONTENT_ZONE if name in CONTENT else above
+            if "main" in (n.lower() for n in names):
+                zone = CONTENT_ZONE
+        elif kind in ("class", "id") and name not in ("html", "body") and any(_marked(n, zone) for n in names):
+            return FURNITURE_ZONE
+    return zone
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
@@ -166,25 +185,39 @@ class Page:
         """Which tokens stand in open blocks."""
         return np.repeat(np.array([z == OPEN_ZONE for z, _ in self.blocks], bool), [len(own) for own in self.words])
 
-    def wholes(self, host: str, long: int) -> list[tuple[int, bytes]]:
-        """Places and digests of the blocks of content that have `long` tokens or more."""
-        return [(k, _digest("b", host, text)) for k, ((zone, text), own) in enumerate(zip(self.blocks, self.words, strict=True)) if zone == CONTENT_ZONE and len(own) >= long]
-
-    def text(self, covered: np.ndarray, gone: frozenset[int]) -> tuple[str, int]:
-        """The main text and how many tokens are taken from it: covered ones of open blocks, and the content blocks in `gone`."""
-        if all(k in gone for k, (zone, _) in enumerate(self.blocks) if zone == CONTENT_ZONE):
-            gone = frozenset()
+    def units(self, host: str, long: int) -> list[tuple[int, int, int, bytes]]:
+        """Blocks of content of `long` tokens or more, and sentences of so many in them: block, start and end in it, digest."""
+        out = []
+        for k, ((zone, text), own) in enumerate(zip(self.blocks, self.words, strict=True)):
+            if zone != CONTENT_ZONE or len(own) < long:
+                continue
+            out.append((k, 0, len(own), _digest("b", host, text)[:12]))
+            start = 0
+            for i, w in enumerate(own):
+                if i == len(own) - 1 or _ENDS_SENTENCE(w):
+                    if i + 1 - start >= long and not (start == 0 and i == len(own) - 1):
+                        out.append((k, start, i + 1, _digest("b", host, " ".join(own[start : i + 1]))[:12]))
+                    start = i + 1
+        return out
+
+    def text(self, covered: np.ndarray, gone: list[tuple[int, int, int]]) -> tuple[str, int]:
+        """The main text and how many tokens are taken from it: covered ones of open blocks, and the parts of content in `gone`."""
+        cut: dict[int, np.ndarray] = {}
+        for k, start, end in gone:
+            cut.setdefault(k, np.zeros(len(self.words[k]), bool))[start:end] = True
+        if all(k in cut and cut[k].all() for k, (zone, _) in enumerate(self.blocks) if zone == CONTENT_ZONE):
+            cut = {}
         kept, at, taken = [], 0, 0
         for k, ((zone, text), own) in enumerate(zip(self.blocks, self.words, strict=True)):
-            if k in gone:
-                taken += len(own)
-            elif zone == CONTENT_ZONE:
-                kept.append(text)
-            elif zone == OPEN_ZONE:
-                rest = [w for w, c in zip(own, covered[at : at + len(own)].tolist(), strict=True) if not c]
-                taken += len(own) - len(rest)
-                if rest:
-                    kept.append(" ".join(rest))
+            if zone != FURNITURE_ZONE:
+                away = covered[at : at + len(own)] if zone == OPEN_ZONE else cut.get(k)
+                if away is None or not away.any():
+                    kept.append(text)
+                else:
+                    rest = [w for w, c in zip(own, away.tolist(), strict=True) if not c]
+                    taken += len(own) - len(rest)
+                    if rest:
+                        kept.append(" ".join(rest))
             at += len(own)
         return "\n".join(kept), taken
 
@@ -200,9 +233,9 @@ def main_texts(pages: list[str | None], long: int = LONG) -> list[tuple[str, int
     streams = [np.fromiter((ids.setdefault(w, len(ids)) for w in p.stream), np.int64) for p in distinct.values()]
     covered = repeated(streams, long) if len(streams) > 1 else [np.zeros(len(s), bool) for s in streams]
     of = dict(zip(distinct, covered, strict=True))
-    pages_with = Counter(key for p in distinct.values() for key in {key for _, key in p.wholes("", long)})
+    pages_with = Counter(key for p in distinct.values() for key in {key for *_, key in p.units("", long)})
     common = {key for key, n in pages_with.items() if n >= SHARED and n >= SHARE * len(distinct)}
-    return [p.text(of[p.digest()], frozenset(k for k, key in p.wholes("", long) if key in common)) for p in parsed]
+    return [p.text(of[p.digest()], [unit for *unit, key in p.units("", long) if key in common]) for p in parsed]
 
 
 def _digest(*parts: str) -> bytes:
@@ -252,79 +285,90 @@ def host_of(url: Column) -> Column:
 def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", long: int = LONG) -> DataFrame:
     """One row per input row: the id, url, text, n_chars (code points) and n_repeated (tokens that the host's repeated runs take).
 
-    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Pages of
-    a host with equal tokens are one page to the search for repeats, whatever their ids and urls. Other columns are not read. An empty table gives an empty result.
+    A null html counts as empty and gives an empty text. Pages without a host are taken as of one host. Pages of a host with
+    equal tokens are one page to the search for repeats, whatever their ids and urls. Null and repeated ids stay as they are.
+    Other columns are not read. An empty table gives an empty result. A page of any length is parsed whole, in one task.
     """
-    rows = numbered(df.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")))
+    rows, row = numbered(bounded(df).select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")))
     pages = rows.withColumn("host", host_of(F.col("url")))
 
+    def parsed(part: pa.RecordBatch) -> Iterator[tuple[str, Page]]:
+        for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+            yield host, Page(text)
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             known: dict[str, int] = {}
             found = [np.empty(0, np.int64)]
-            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = Page(text)
+            for host, page in parsed(part):
                 at = _asking(page, long)
                 if len(at):
                     found.append(_hashes(page, host, long, known)[at])
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], names=["hash"])
 
-    asked = Bloom.of(pages.select("host", "html").mapInArrow(ask, "hash long"), "hash")
+    asked = Bloom.of(stored(pages.select("host", "html").mapInArrow(ask, "hash long")), "hash")
     some_ask = bool(asked.words.any())
+    # on a host of fewer pages no sentence of content can be common
+    many = Bloom.of(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select(F.xxhash64("host").alias("hash")), "hash")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             known: dict[str, int] = {}
-            out: list[tuple[str, str | None, bytes, bytes]] = []
-            for host, text in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page = Page(text)
-                own = page.digest()
-                out.append(("page", host, b"", own))
-                out += [("block", host, key, own) for key in {key for _, key in page.wholes(host, long)}]
+            out: set[tuple[str, bytes | None, bytes, bytes]] = set()
+            for (host, page), large in zip(parsed(part), many.find(part.column("hash").to_numpy()).tolist(), strict=True):
+                own, of = page.digest()[:8], _digest("host", host)
+                if large:
+                    out.add(("page", of, b"", own))
+                    out.update(("unit", of, key, own) for *_, key in page.units(host, long))
                 if some_ask:
-                    out += [("window", None, key, own) for key in {_window(page, host, i, long) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist()}]
-            kinds = (pa.string(), pa.string(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["kind", "host", "key", "page"])
+                    out.update(("window", None, _window(page, host, i, long), own) for i in np.flatnonzero(asked.find(_hashes(page, host, long, known))).tolist())
+            kinds = (pa.string(), pa.binary(), pa.binary(), pa.binary())
+            columns = [*zip(*out)] if out else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], names=["kind", "host", "key", "page"])
 
     def answered(found: Bloom):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in text_slices(batches, "html"):
                 keys, places = [], []
-                for k, (host, text) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True)):
-                    page = Page(text)
-                    got = {_window(page, host, i, long) for i in _asking(page, long).tolist()} | {key for _, key in page.wholes(host, long)}
+                for k, (host, page) in enumerate(parsed(part)):
+                    got = {_window(page, host, i, long) for i in _asking(page, long).tolist()} | {key for *_, key in page.units(host, long)}
                     got = [key for key in got if _short(key) in found]
                     keys += got
                     places += [k] * len(got)
-                yield pa.RecordBatch.from_arrays([part.column(ROW).take(pa.array(places, pa.int64())), pa.array(keys, pa.binary())], names=[ROW, "key"])
+                yield pa.RecordBatch.from_arrays([part.column(row).take(pa.array(places, pa.int64())), pa.array(keys, pa.binary())], names=[row, "key"])
 
         return run
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):
             out = []
-            for host, text, keys in zip(*(part.column(c).to_pylist() for c in ("host", "html", "keys")), strict=True):
-                page, there = Page(text), frozenset(keys or ())
+            for (host, page), keys in zip(parsed(part), part.column("keys").to_pylist(), strict=True):
+                there = frozenset(keys or ())
                 covered = np.zeros(len(page.stream), bool)
                 for i in _asking(page, long).tolist() if there else ():
                     if _window(page, host, i, long) in there:
                         covered[i : i + long] = True
-                out.append(page.text(covered, frozenset(k for k, key in page.wholes(host, long) if key in there) if there else frozenset()))
+                out.append(page.text(covered, [unit for *unit, key in page.units(host, long) if key in there] if there else []))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("url"), pa.array([t for t, _ in out], pa.string()), pa.array([len(t) for t, _ in out], pa.int64()), pa.array([c for _, c in out], pa.int64())], names=["id", "url", "text", "n_chars", "n_repeated"])
 
-    carried = pages.select("host", "html").mapInArrow(carry, "kind string, host string, key binary, page binary").distinct()
+    carried = pages.select("host", "html", F.xxhash64("host").alias("hash")).mapInArrow(carry, "kind string, host binary, key binary, page binary").distinct()
     n, kind = F.col("n"), F.col("kind")
     # pages of a key are told apart before they are counted, so that a key of all pages of a host is no burden to one task
     counts = stored(carried.groupBy("kind", "host", "key").agg(F.count("*").alias("n")).filter(((kind == "window") & (n > 1)) | (n >= SHARED)))
     sizes = counts.filter(kind == "page").select("host", n.alias("total"))
-    common = counts.filter(kind == "block").join(sizes, "host").filter(n >= SHARE * F.col("total")).select("key")
+    common = counts.filter(kind == "unit").join(sizes, "host").filter(n >= SHARE * F.col("total")).select("key")
     several = stored(counts.filter(kind == "window").select("key").unionByName(common))
     found = Bloom.of(several.select(F.expr(_SHORT).alias("hash")), "hash")
+    nothing = F.lit(None).cast("array<binary>").alias("keys")
+    whole = pages
+    if found.words.any():
+        shape = f"{row} {pages.schema[row].dataType.simpleString()}, key binary"
+        flags = stored(pages.select(row, "host", "html").mapInArrow(answered(found), shape).join(several, "key").groupBy(row).agg(F.collect_set("key").alias("keys")))
+        # pages without any such run are not shuffled
+        whole, flagged = parted(pages, flags.select(row), row)
+        flagged = flagged.join(flags, row, "left").select("id", "url", "html", "host", "keys")
+    whole = whole.select("id", "url", "html", "host", nothing)
     if found.words.any():
-        shape = f"{ROW} {pages.schema[ROW].dataType.simpleString()}, key binary"
-        flags = pages.select(ROW, "host", "html").mapInArrow(answered(found), shape).join(several, "key").groupBy(ROW).agg(F.collect_set("key").alias("keys"))
-        whole = pages.join(flags, ROW, "left").select("id", "url", "html", "host", "keys")
-    else:
-        whole = pages.select("id", "url", "html", "host", F.lit(None).cast("array<binary>").alias("keys"))
+        whole = whole.unionByName(flagged)
     out = whole.mapInArrow(finish, f"id {df.schema[id_column].dataType.simpleString()}, url string, text string, n_chars long, n_repeated long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column} if url_column != id_column else {})
