@@ -4,17 +4,18 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.store import release, shared_dir, stored  # noqa: F401
+
 try:
     _libc = ctypes.CDLL("libc.so.6")
     _libc.malloc_trim  # noqa: B018
@@ -31,38 +32,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: under spark.checkpoint.dir, or a local one where that is unset (one machine)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='lodestrata-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
-    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
-
-
-_written: dict[str, list[str]] = {}
-
-
-def release(spark: SparkSession) -> int:
-    """Delete what this application's operators have written to the shared folder. Call it once their results are saved:
-    results that are not yet computed read these files."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    return len(paths)
-
-
-def stored(df: DataFrame, codec: str = "zstd", partition_by: list[str] | None = None) -> DataFrame:
-    """The rows, written to the shared folder and read back: cuts the lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession)
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a slice has at most `budget` bytes of text or one row."""
     for batch in batches:
@@ -84,11 +53,19 @@ def give_back() -> None:
         _libc.malloc_trim(0)
 
 
-def bounded_batches(spark: SparkSession) -> SparkSession:
-    """Arrow batches of at most 8 MB or 1000 rows, so that long texts don't add up in executors and their workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    return spark
+def bounded_session(spark: SparkSession) -> SparkSession:
+    """A session like this one, with Arrow batches of at most 8 MB or 1000 rows, so that long texts don't add up in executors
+    and their workers. The given session's settings stay as they are."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    own.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return own
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """The same rows in a session with bounded batches."""
+    own = bounded_session(df.sparkSession)
+    return DataFrame(own._jvm.org.apache.spark.sql.classic.Dataset.ofRows(own._jsparkSession, df._jdf.logicalPlan()), own)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -102,21 +79,24 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Bloom:
-    """A Bloom filter of a fixed number of bits, so that its broadcast never grows with the data.
+    """A Bloom filter whose bits follow the number of keys up to a bound, so that its broadcast never grows beyond that.
 
-    A key that was put in is always found; others are found at a rate that rises with the number of keys. Callers must give
-    the same results whatever that rate is: a false find may only cost work.
+    A key that was put in is always found; others are found at a rate that rises with the number of keys once the bound is
+    reached. Callers must give the same results whatever that rate is: a false find may only cost work.
     """
 
-    BITS = 1 << 23
-    SHIFTS = (0, 20, 41)
+    #: Bits for each key, and the fewest and the most bits: 8 MB at most, for 6 million keys at the full rate.
+    PER_KEY, LEAST, MOST = 10, 1 << 16, 1 << 26
+    SHIFTS = (0, 19, 38)
 
     def __init__(self, words: np.ndarray):
         self.words = words
 
     @classmethod
-    def of(cls, df: DataFrame, column: str, bits: int = BITS) -> Bloom:
+    def of(cls, df: DataFrame, column: str, bits: int | None = None) -> Bloom:
         """Filter of a long column whose values are hashes; the executors set the bits, the driver gets at most bits/64 words."""
+        if bits is None:
+            bits = min(cls.MOST, max(cls.LEAST, 1 << (cls.PER_KEY * df.count()).bit_length()))
         key = F.col(column)
         places = F.array(*[F.shiftrightunsigned(key, n).bitwiseAND(F.lit(bits - 1)) for n in cls.SHIFTS])
         word = F.shiftright("p", 6).alias("w")
@@ -142,36 +122,45 @@ class Bloom:
         return found
 
 
-#: Name of the column that tells rows apart.
-ROW = "row_"
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that is not taken, whatever its case: the given one with as many underscores as it needs."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """The rows with a column ROW that is unique, never null and the same whenever the rows are read again.
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The rows with one more column, and its name: unique, never null and the same whenever the rows are read again.
 
     Rows of files are told apart by file and place in it; others are written to the shared folder with a number.
     """
+    row = fresh("row_", df.columns)
     try:
-        out = df.withColumn(ROW, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")))
-        return out
+        return df.withColumn(row, F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))), row
     except AnalysisException:
-        return stored(df.withColumn(ROW, F.monotonically_increasing_id()))
+        return stored(df.withColumn(row, F.monotonically_increasing_id())), row
 
 
-def without(rows: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Numbered rows less those whose ROW is in `dropped`, and less the column ROW.
+def parted(rows: DataFrame, picked: DataFrame, row: str) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows as two tables: those whose number is surely not in `picked`, and those whose number may be.
 
-    A Bloom filter of the dropped lets most rows pass as they are read; only those that it finds are shuffled to an anti-join.
+    A Bloom filter of the picked is asked as the rows are read; only hashes go to Python.
     """
-    found = Bloom.of(dropped.select(F.xxhash64(ROW).alias("hash")), "hash")
-    hashed = rows.withColumn("hash_", F.xxhash64(ROW))
+    found = Bloom.of(picked.select(F.xxhash64(row).alias("hash")), "hash")
 
-    def side(maybe: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                yield batch.filter(pa.array(found.find(batch.column("hash_").to_numpy()) == maybe))
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(found.find(hashes.to_numpy()))
 
-        return hashed.mapInArrow(run, hashed.schema)
+    seen = maybe(F.xxhash64(row))
+    return rows.filter(~seen), rows.filter(seen)
 
-    kept = side(False).unionByName(side(True).join(dropped, ROW, "left_anti"))
-    return kept.drop(ROW, "hash_")
+
+def without(rows: DataFrame, dropped: DataFrame, row: str) -> DataFrame:
+    """Numbered rows less those whose number, the column `row`, is in `dropped`, and less that column.
+
+    Most rows pass as they are read; only those that may be dropped are shuffled to an anti-join.
+    """
+    kept, maybe = parted(rows, dropped, row)
+    return kept.unionByName(maybe.join(dropped, row, "left_anti")).drop(row)

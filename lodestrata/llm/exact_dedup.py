@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunking import cut_points
-from .common import ROW, numbered, stored, text_slices, without
+from .common import bounded, numbered, stored, text_slices, without
 
 _SPACE = bytes.maketrans(b"\t\n\v\f\r", b"     ")
 _RECIPE = "array<struct<digest:binary,check:binary,length:int>>"
@@ -81,12 +81,15 @@ def deduplicate(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     share the smallest id exactly one is kept. Other columns, whatever their names, are not read. An empty table gives an
     empty result.
     """
-    found = _decide(df.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
+    found = _decide(bounded(df).select(F.col(id_column).alias("id"), F.col(text_column).alias("text")))
     return found.select(F.col("id").alias(id_column), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
 
 
 def keep_first(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows that deduplicate() keeps, with all their columns. Texts that stay are not shuffled."""
-    rows = numbered(df)
-    found = _decide(rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(ROW).alias("row")))
-    return without(rows, stored(found.filter(F.col("row") != F.col("keep_row")).select(F.col("row").alias(ROW))))
+    """The rows that deduplicate() keeps, with all their columns, whatever their names. Texts that stay are not shuffled.
+
+    Nulls, repeated ids and empty tables are as there.
+    """
+    rows, row = numbered(bounded(df))
+    found = _decide(rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), F.col(row).alias("row")))
+    return without(rows, stored(found.filter(F.col("row") != F.col("keep_row")).select(F.col("row").alias(row))), row)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..ship import ship
 from . import bpe, exact_dedup, html, langid, media, near_dedup, packing, sharding, token_counts, toxicity
-from .common import bounded_batches, documents
+from .common import bounded_session, documents
 
 QUERIES, ORACLES = {}, {}
 
@@ -20,7 +20,7 @@ def word_tokenizer() -> str:
 
 
 def _query(f):
-    QUERIES[f.__name__] = lambda spark, sf_dir: f(bounded_batches(ship(spark)), sf_dir)
+    QUERIES[f.__name__] = lambda spark, sf_dir: f(bounded_session(ship(spark)), sf_dir)
     return f
 
 

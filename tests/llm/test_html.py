@@ -3,6 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 import numpy as np
+import pytest
 
 from lodestrata.llm import html
 
@@ -16,6 +17,27 @@ def test_article_without_furniture():
     assert html.main_texts([PAGE]) == [("Title & more\nOne two three link end\nSecond\nc1\nc2", 0)]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<main class="has-sidebar"><p>Kept text</p></main>',
+        '<article class="post no-comments"><p>Kept text</p></article>',
+        '<article data-id="ad-7" data-class="ad"><p>Kept text</p></article>',
+        '<div class="ad-free"><article><p>Kept text</p></article></div>',
+        '<div id="related-work"><article><p>Kept text</p></article></div>',
+        '<article><p class="share-price">Kept text</p></article>',
+        '<article><div class="share-box">Kept text</div><div title="class=ad" class=x>more</div></article>',
+    ],
+)
+def test_parts_of_names_take_nothing(page):
+    assert html.main_texts([page])[0][0].startswith("Kept text")
+
+
+def test_names_of_furniture():
+    gone = '<div class="site-header">a</div><div id="sidebar-2">b</div><div class="x cookie-notice">c</div><div class=adBanner>d</div><div class="comment-list">e</div><div role="navigation">f</div>'
+    assert html.main_texts([f"{gone}<article>Kept <div class='ad'>no</div><section class='comments'>no</section></article>{gone}"]) == [("Kept", 0)]
+
+
 def test_open_text_loses_repeated_runs_only():
     run = "this very line stands on every page of the host"
     pages = [f"<body><div>{run}</div><div>own{k} words{k} {run} tail{k}</div><article>{run}</article></body>" for k in "ab"]
@@ -82,3 +104,13 @@ def test_a_notice_inside_of_articles_goes(llm_spark):
     assert got[1] == "story 1 of this host" and got[5] == f"story 5 of this host\n{few}"
     assert got[80] == notice and got[1000] == f"{notice}\nstory 1 of this host"
     assert [got[i] for i in range(81)] == [t for t, _ in html.main_texts(pages)]
+
+
+def test_sentences_of_the_host_inside_of_paragraphs_go(llm_spark):
+    line = "Read more of our stories on the pages of this site."
+    pages = [f"<article><p>Story {i} begins. {line} It ends {i}.</p><p>{line}</p></article>" for i in range(40)]
+    rows = [(i, f"http://lines.example/{i}", p) for i, p in enumerate(pages)] + [(100 + i, "http://few.example/", p) for i, p in enumerate(pages[:9])]
+    table = html.extract(llm_spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {r["page_id"]: (r["text"], r["n_repeated"]) for r in table.collect()}
+    assert [got[i] for i in range(40)] == html.main_texts(pages) == [(f"Story {i} begins. It ends {i}.", 22) for i in range(40)]
+    assert [got[100 + i] for i in range(9)] == html.main_texts(pages[:9]) == [(f"Story {i} begins. {line} It ends {i}.\n{line}", 0) for i in range(9)]
