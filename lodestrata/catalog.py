@@ -29,6 +29,24 @@ relation_replacements(relation_id, replacement_relation_id): relation_id string,
 KINDS = {"bead_version_id": "bead_version", "version_id": "bead_version", "bead_id": "bead", "statement_id": "statement", "source_unit_id": "source_unit", "evidence_ref": "evidence", "relation_id": "relation", "event_id": "event", "task_id": "task", "content_sha256": "content", "type_key": "type"}
 
 
+# Where a relation's rows get their visibility from, as column, relation and column there; all must be visible.
+# Relations of captured events have the scope column themselves, and the vocabulary is everyone's.
+SCOPED = frozenset("observations source_units statement_sources".split())
+OPEN = frozenset(["relation_types"])
+VIA = {
+    "statements": [("bead_version_id", "observations", "bead_version_id")],
+    "corrections": [("predecessor_version_id", "observations", "bead_version_id"), ("successor_version_id", "observations", "bead_version_id")],
+    "assessed_relations": [("source_bead_version_id", "observations", "bead_version_id"), ("target_bead_version_id", "observations", "bead_version_id")],
+    "relation_statements": [("relation_id", "assessed_relations", "relation_id")],
+    "relation_evidence": [("relation_id", "assessed_relations", "relation_id"), ("source_unit_id", "source_units", "source_unit_id")],
+    "relation_events": [("relation_id", "assessed_relations", "relation_id")],
+    "relation_event_evidence": [("event_id", "relation_events", "event_id"), ("source_unit_id", "source_units", "source_unit_id")],
+    "relation_pairs": [("first_bead_version_id", "observations", "bead_version_id"), ("second_bead_version_id", "observations", "bead_version_id")],
+    "relation_corrections": [("relation_id", "assessed_relations", "relation_id")],
+    "relation_replacements": [("relation_id", "assessed_relations", "relation_id"), ("replacement_relation_id", "assessed_relations", "relation_id")],
+}
+
+
 _TYPES = {"string": T.StringType(), "bigint": T.LongType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(), "decimal": T.DecimalType(38, 10)}
 
 
@@ -77,17 +95,34 @@ def check(df: DataFrame, relation: Relation) -> None:
 def register(spark: SparkSession, frame: dict[str, DataFrame], known_at: str | None = None, grants: DataFrame | None = None, scope: str = "event_id", checked: bool = True) -> dict[str, DataFrame]:
     """A frame's relations as views that queries can name: recorded by known_at, visible under the grants, checked.
 
-    Visibility is a semi-join on the relations that have the scope column, and comes before anything that a query does.
+    Visibility comes before anything that a query does: a semi-join with the grants on the relations of captured events, and
+    with the visible rows of what they refer to on all others. A relation whose visibility can't be told, as what it refers to
+    is not in the frame, is refused.
     """
     known = relations()
     views = {}
-    for name, df in frame.items():
-        if name not in known:
-            raise PopulationError(f"unknown relation {name}")
+    if unknown := sorted(set(frame) - set(known)):
+        raise PopulationError(f"unknown relation {unknown[0]}")
+    cut = {}
+
+    def visible(name: str) -> DataFrame:
+        if name in cut:
+            return cut[name]
+        if name not in frame:
+            raise PopulationError(f"visibility needs the relation {name}")
+        df = frame[name]
         if known_at is not None and "recorded_at" in df.columns:
             df = df.filter(F.col("recorded_at") <= F.lit(known_at).cast("timestamp"))
-        if grants is not None and scope in df.columns:
+        if grants is not None and name in SCOPED:
             df = df.join(grants.select(scope).distinct(), scope, "left_semi")
+        elif grants is not None and name not in OPEN:
+            for column, other, key in VIA[name]:
+                df = df.join(visible(other).select(F.col(key).alias(column)).distinct(), column, "left_semi")
+        cut[name] = df
+        return df
+
+    for name in frame:
+        df = visible(name)
         df = df.select(*[f.name for f in known[name].schema])
         if checked:
             check(df, known[name])

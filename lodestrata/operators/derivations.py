@@ -365,8 +365,8 @@ def manifest_digest(spark: SparkSession, d: str) -> DataFrame:
 SELECT doc_id, source, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS ref, sha256(doc_id || ':' || source) AS binding FROM (SELECT DISTINCT doc_id, source FROM documents)""")
 def evidence_refs(spark: SparkSession, d: str) -> DataFrame:
     """One private reference for each binding."""
-    w = Window.partitionBy("source").orderBy("doc_id")
-    return table(spark, d, "documents").select("doc_id", "source").distinct().select("doc_id", "source", F.dense_rank().over(w).cast("bigint").alias("ref"), F.sha2(F.concat_ws(":", "doc_id", "source"), 256).alias("binding"))
+    bindings = table(spark, d, "documents").select("doc_id", "source").distinct()
+    return temporal.numbered_within(bindings, "source", "doc_id", "ref").select("doc_id", "source", "ref", F.sha2(F.concat_ws(":", "doc_id", "source"), 256).alias("binding"))
 
 
 @query("inspect_relations", f"""

@@ -116,8 +116,7 @@ def newly_visible(spark: SparkSession, d: str) -> DataFrame:
 def source_slices(spark: SparkSession, d: str) -> DataFrame:
     """Bounded slices of source texts."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    spans = docs.select("doc_id", (F.col("doc_id") % 50).alias("start"), (F.col("doc_id") % 50 + 40).alias("end"))
-    return results.text_slice(docs, "doc_id", spans)
+    return results.own_slices(docs.withColumns({"start": F.col("doc_id") % 50, "end": F.col("doc_id") % 50 + 40}), "doc_id")
 
 
 @query("closure_recheck", "SELECT n_regionkey, count(*) AS n, true AS unchanged FROM nation GROUP BY n_regionkey")

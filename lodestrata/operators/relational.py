@@ -37,7 +37,7 @@ def filter_any_array(spark: SparkSession, d: str) -> DataFrame:
 def filter_like_ilike(spark: SparkSession, d: str) -> DataFrame:
     """Patterns, with and without case."""
     p = table(spark, d, "part")
-    return p.filter((F.col("p_name").like("%a%") & ~F.col("p_type").like("ECONOMY%")) | F.col("p_brand").ilike("brand#1_")).select("p_partkey", "p_name")
+    return p.filter((F.col("p_name").like("%a%") & ~F.col("p_type").like("ECONOMY%")) | lower_ascii(F.col("p_brand")).like("brand#1_")).select("p_partkey", "p_name")
 
 
 @query("filter_null_logic", """

@@ -5,15 +5,20 @@ from __future__ import annotations
 import contextlib
 import hashlib
 import json
+import re
 import threading
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import get, names, put, remove, stored
+
+#: Digests that are joined into one.
+BLOCK = 4096
 #: Rows and UTF-8 bytes of a page, and bytes of a result at most.
 PAGE_ROWS, PAGE_BYTES, RESULT_BYTES = 50, 256 * 1024, 64 * 1024 * 1024
 
@@ -70,41 +75,71 @@ class Page:
     cursor: str | None
 
 
-@dataclass
 class Run:
-    """A caller's run: its results, steps and cursors. Rows stay in files; only pages come to the driver."""
+    """A caller's run: its results, steps and cursors, as small files beside the results' rows under `root`.
+
+    Another process that opens the same root as the same owner goes on with it. Only pages come to the driver.
+    """
 
-    spark: SparkSession
-    root: str
-    owner: str = "local"
-    results: dict[str, Result] = field(default_factory=dict)
-    steps: dict[str, tuple[str, str]] = field(default_factory=dict)
-    cursors: dict[str, tuple[str, str, int]] = field(default_factory=dict)
-    seen: set[str] = field(default_factory=set)
-    closed: bool = False
+    def __init__(self, spark: SparkSession, root: str, owner: str = "local"):
+        self.spark, self.root, self.owner = spark, root, owner
+        self.seen: set[str] = set()
+        if not put(spark, f"{root}/run.json", json.dumps({"owner": owner})) and json.loads(get(spark, f"{root}/run.json"))["owner"] != owner:
+            raise ResultError("unavailable", "the run is another owner's")
+
+    @property
+    def closed(self) -> bool:
+        return get(self.spark, f"{self.root}/closed") is not None
+
+    def result(self, result_id: str) -> Result:
+        """A sealed result of this run, whichever process sealed it."""
+        text = get(self.spark, f"{self.root}/results/{result_id}.json")
+        if text is None:
+            raise ResultError("unavailable", "no such result")
+        return Result(**json.loads(text))
+
+    def _step(self, step: str) -> str:
+        return f"{self.root}/steps/{hashlib.sha256(step.encode()).hexdigest()}.json"
+
+    def _repeated(self, step: str, fingerprint: str) -> Result | None:
+        """The result that a step has given before."""
+        text = get(self.spark, self._step(step))
+        if text is None:
+            return None
+        before = json.loads(text)
+        if before["fingerprint"] != fingerprint:
+            raise ResultError("idempotency_conflict", step)
+        return self.result(before["result_id"])
 
     def commit(self, step: str, fingerprint: str, df: DataFrame, order: list[str], most_bytes: int = RESULT_BYTES) -> Result:
         """Seal the rows in a total order. The same step with the same fingerprint gives the same result again."""
         if self.closed:
             raise ResultError("unavailable", "the run is closed")
-        if step in self.steps:
-            result_id, before = self.steps[step]
-            if before != fingerprint:
-                raise ResultError("idempotency_conflict", step)
-            return self.results[result_id]
+        if (before := self._repeated(step, fingerprint)) is not None:
+            return before
         path = f"{self.root}/{uuid.uuid4().hex}"
         rows = with_ordinal(df, order, path)
         body = encoded(rows, df.columns)
         rows.withColumn("_body", body).write.parquet(f"{path}/rows")
-        # the digest of a result is that of its rows' digests in order, blocks of rows first
-        blocks = self.spark.read.parquet(f"{path}/rows").select("row_ref", F.sha2("_body", 256).alias("h"), F.octet_length("_body").alias("b")).groupBy(F.floor(F.col("row_ref") / 4096).alias("k"))
-        sums = blocks.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("row_ref", "h"))), lambda x: x["h"]), ""), 256).alias("h"), F.sum("b").alias("b"), F.count("*").alias("n")).orderBy("k").collect()
+        # the digest of a result is that of its rows' digests in order, blocks of rows first, then blocks of blocks
+        sums = self.spark.read.parquet(f"{path}/rows").select(F.col("row_ref").alias("at"), F.sha2("_body", 256).alias("h"), F.octet_length("_body").cast("long").alias("b"), F.lit(1).cast("long").alias("n"))
+        many = 1 + (sums.agg(F.max("at")).first()[0] or 0)
+        while True:
+            ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "h"))), lambda x: x["h"]), "")
+            sums = sums.groupBy(F.floor(F.col("at") / BLOCK).alias("at")).agg(F.sha2(ordered, 256).alias("h"), F.sum("b").alias("b"), F.sum("n").alias("n"))
+            many = -(-many // BLOCK)
+            if many <= BLOCK:
+                break
+            sums = stored(sums)
+        sums = sums.orderBy("at").collect()
         n_bytes, n_rows = sum(r["b"] for r in sums), sum(r["n"] for r in sums)
         if n_bytes > most_bytes:
             raise ResultError("budget_exhausted", f"{n_bytes} bytes")
         digest = hashlib.sha256(json.dumps({"columns": df.dtypes, "blocks": [r["h"] for r in sums]}, sort_keys=True).encode()).hexdigest()
         result = Result(uuid.uuid4().hex, path, digest, n_rows, n_bytes, df.columns)
-        self.results[result.result_id], self.steps[step] = result, (result.result_id, fingerprint)
+        put(self.spark, f"{self.root}/results/{result.result_id}.json", json.dumps(asdict(result)))
+        if not put(self.spark, self._step(step), json.dumps({"result_id": result.result_id, "fingerprint": fingerprint})):
+            return self._repeated(step, fingerprint)  # another process has been faster
         return result
 
     def rows(self, result: Result) -> DataFrame:
@@ -127,15 +162,16 @@ class Run:
         cursor = None
         if after <= result.n_rows:
             cursor = hashlib.sha256(f"{self.owner}:{result.digest}:{after}:{uuid.uuid4().hex}".encode()).hexdigest()
-            self.cursors[cursor] = (result.result_id, result.digest, after)
+            put(self.spark, f"{self.root}/cursors/{cursor}.json", json.dumps([result.result_id, result.digest, after]))
         return Page(rows, first, cursor)
 
     def next_page(self, cursor: str, n: int = PAGE_ROWS) -> Page:
         """The page behind a cursor, which is bound to its result and digest."""
-        if cursor not in self.cursors:
+        text = get(self.spark, f"{self.root}/cursors/{cursor}.json") if re.fullmatch("[0-9a-f]{64}", cursor) else None
+        if text is None:
             raise ResultError("invalid_request", "cursor")
-        result_id, digest, first = self.cursors[cursor]
-        result = self.results[result_id]
+        result_id, digest, first = json.loads(text)
+        result = self.result(result_id)
         if result.digest != digest:
             raise ResultError("unavailable", "the result has changed")
         return self.page(result, first, n)
@@ -147,43 +183,46 @@ class Run:
         return new
 
     def close(self) -> None:
-        self.closed = True
+        put(self.spark, f"{self.root}/closed", "")
 
     def purge(self) -> int:
         """Delete the files of a closed run's results; its digests stay known. Returns how many results went."""
         if not self.closed:
             raise ResultError("invalid_request", "the run is open")
-        jvm, gone = self.spark._jvm, 0
-        for r in self.results.values():
-            path = jvm.org.apache.hadoop.fs.Path(r.path)
-            gone += bool(path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True))
-        return gone
+        return sum(remove(self.spark, self.result(name.removesuffix(".json")).path) for name in names(self.spark, f"{self.root}/results") if name.endswith(".json"))
 
 
-@dataclass
 class Checkpoints:
-    """An investigation's checkpoints: appended by compare-and-swap of the head, pruned to the newest."""
+    """An investigation's checkpoints in a folder: appended by compare-and-swap of the head, pruned to the newest.
+
+    A checkpoint is a file that is named by its number and digest's start; of two processes that append at one head, one fails.
+    """
 
-    keep: int = 20
-    log: list[tuple[int, str, str]] = field(default_factory=list)
-    at: int = 0
+    def __init__(self, spark: SparkSession, root: str, keep: int = 20):
+        self.spark, self.root, self.keep = spark, root, keep
+
+    def _log(self) -> list[dict[str, Any]]:
+        return [json.loads(get(self.spark, f"{self.root}/{n}")) for n in names(self.spark, self.root) if n.endswith(".json")]
 
     def head(self) -> str | None:
-        return self.log[-1][2] if self.log else None
+        last = [n for n in names(self.spark, self.root) if n.endswith(".json")]
+        return json.loads(get(self.spark, f"{self.root}/{last[-1]}"))["digest"] if last else None
 
     def append(self, expected: str | None, body: str) -> str:
-        if expected != self.head():
+        log = [n for n in names(self.spark, self.root) if n.endswith(".json")]
+        head = self.head()
+        at = int(log[-1].removesuffix(".json")) + 1 if log else 1
+        digest = hashlib.sha256(f"{head}:{at}:{body}".encode()).hexdigest()
+        if expected != head or not put(self.spark, f"{self.root}/{at:012d}.json", json.dumps({"body": body, "digest": digest})):
             raise ResultError("idempotency_conflict", "the head has moved")
-        self.at += 1
-        digest = hashlib.sha256(f"{self.head()}:{self.at}:{body}".encode()).hexdigest()
-        self.log.append((self.at, body, digest))
-        del self.log[: -self.keep]
+        for name in log[: len(log) + 1 - self.keep]:
+            remove(self.spark, f"{self.root}/{name}")
         return digest
 
     def read(self, digest: str) -> str:
-        for _, body, d in self.log:
-            if d == digest:
-                return body
+        for entry in self._log():
+            if entry["digest"] == digest:
+                return entry["body"]
         raise ResultError("unavailable", "no such checkpoint")
 
 
@@ -216,6 +255,18 @@ def same_rows(a: DataFrame, b: DataFrame) -> bool:
 
 
 def text_slice(df: DataFrame, key: str, spans: DataFrame, most: int = 16 * 1024) -> DataFrame:
-    """Half-open slices [start, end) of texts by code points, at most `most` each (key, start, end, slice)."""
-    near = spans.filter((F.col("end") > F.col("start")) & (F.col("end") - F.col("start") <= most))
-    return near.join(df, key).select(key, "start", "end", F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")).alias("slice"))
+    """Half-open slices [start, end) of texts by code points, at most `most` long each (key, start, end, slice).
+
+    A longer span comes as several slices.
+    """
+    return own_slices(spans.join(df, key), key, most)
+
+
+def own_slices(df: DataFrame, key: str, most: int = 16 * 1024) -> DataFrame:
+    """The same for rows that hold their text and span (key, text, start, end); nothing is shuffled.
+
+    A longer span comes as several slices, all but the last `most` long; an empty one gives none.
+    """
+    cuts = df.filter(F.col("end") > F.col("start")).withColumn("_at", F.explode(F.sequence(F.col("start").cast("long"), F.col("end").cast("long") - 1, F.lit(most).cast("long"))))
+    start, end = F.col("_at"), F.least(F.col("_at") + most, F.col("end"))
+    return cuts.select(key, start.alias("start"), end.alias("end"), F.substring("text", start + 1, end - start).alias("slice"))

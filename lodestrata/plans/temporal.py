@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .store import stored
+
 
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by `order`; partial maxima are taken before the shuffle, so that a hot key moves few rows.
@@ -47,17 +49,48 @@ def asof_join(left: DataFrame, right: DataFrame, key: str, left_time: str, right
     return out.unionByName(untimed.select(*kept, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in columns]))
 
 
+def numbered_within(df: DataFrame, group: str, order: str, name: str) -> DataFrame:
+    """Numbers the rows of each group 1, 2, ... in an order without ties, however few groups there are.
+
+    Rows are range-partitioned by group and order; each partition numbers its own, and counts of the partitions before give a
+    group its first number there.
+    """
+    dealt = stored(df.repartitionByRange(F.col(group), F.col(order)).withColumn("_p", F.spark_partition_id()))
+    sums = dealt.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), before.alias("_before"))
+    local = dealt.withColumn(name, F.row_number().over(Window.partitionBy(group, "_p").orderBy(order)))
+    met = local.join(stored(sums), F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q")))
+    return met.select(*df.columns, (F.col(name) + F.col("_before")).alias(name))
+
+
 def overlap_join(left: DataFrame, right: DataFrame, key: str, left_span: tuple[str, str], right_span: tuple[str, str], width: int) -> DataFrame:
-    """Pairs of one key whose half-open integer intervals overlap, by equality of buckets of `width` and not by a nested loop.
+    """Pairs of one key whose half-open integer intervals overlap, by equality of cells and not by a nested loop.
 
-    A pair is reported only in the bucket where its later start lies, so that no distinct is needed.
+    Cells are of `width` and of its doubles: an interval's own cells are of the first size that is no shorter than itself, so
+    that it has two at most, however long it is. Two intervals meet in the larger one's size, where the smaller one is a
+    visitor in two cells at most. A pair is reported only in the cell where its later start lies, so that no distinct is needed.
     """
     (ls, le), (rs, re_) = left_span, right_span
-    cells = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / width), F.floor((F.col(e) - 1) / width)))
-    a = left.filter(F.col(le) > F.col(ls)).withColumn("_cell", cells(ls, le))
-    b = right.filter(F.col(re_) > F.col(rs)).withColumn("_cell", cells(rs, re_))
-    met = a.join(b, [key, "_cell"]).filter((F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)))
-    return met.filter(F.floor(F.greatest(ls, rs) / width) == F.col("_cell")).drop("_cell")
+
+    def sized(df: DataFrame, s: str, e: str) -> DataFrame:
+        # sizes are counted in whole doublings, so that no rounding of logarithms matters
+        many = F.greatest(F.ceil((F.col(e) - F.col(s)) / width).cast("long"), F.lit(1)) - 1
+        return df.filter(F.col(e) > F.col(s)).withColumn("_own", F.when(many == 0, 0).otherwise(F.length(F.bin(many))))
+
+    a, b = sized(left, ls, le), sized(right, rs, re_)
+    levels = [sorted(r["_own"] for r in x.select("_own").distinct().collect()) for x in (a, b)]  # 64 numbers at most
+
+    def placed(df: DataFrame, s: str, e: str, others: list[int], mark: str) -> DataFrame:
+        at = F.array_distinct(F.concat(F.array("_own"), F.filter(F.array(*[F.lit(n) for n in others]).cast("array<int>"), lambda n: n > F.col("_own"))))
+        df = df.withColumn("_level", F.explode(at)).withColumn("_size", F.lit(width).cast("long") * F.expr("shiftleft(1L, _level)"))
+        cells = F.sequence(F.floor(F.col(s) / F.col("_size")), F.floor((F.col(e) - 1) / F.col("_size")))
+        return df.withColumn("_cell", F.explode(cells)).withColumnRenamed("_own", mark)
+
+    a = placed(a, ls, le, levels[1], "_mine")
+    b = placed(b, rs, re_, levels[0], "_theirs").drop("_size")
+    met = a.join(b, [key, "_level", "_cell"]).filter((F.col("_level") == F.greatest("_mine", "_theirs")) & (F.col(ls) < F.col(re_)) & (F.col(rs) < F.col(le)))
+    return met.filter(F.floor(F.greatest(ls, rs) / F.col("_size")) == F.col("_cell")).drop("_cell", "_level", "_size", "_mine", "_theirs")
 
 
 def union_intervals(df: DataFrame, keys: list[str], start: str, end: str) -> DataFrame:

@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.temporal import overlap_join
+
+#: Bytes of the smallest cell in which ranges meet.
+CELL = 1 << 16
+
 
 def byte_chunks(df: DataFrame, key: str, data: str, size: int) -> DataFrame:
     """Binary values as contiguous ranges: key, start, end, data. An empty value is one empty range."""
@@ -45,9 +50,10 @@ def capture(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     `accepted` if it continues where the stored ranges end; else `gap`.
     """
     s = stored.select(F.col(key).alias("_k"), F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("sha256").alias("_h"))
-    hit = (F.col(key) == F.col("_k")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end"))
     same = (F.col("_s") == F.col("start")) & (F.col("_e") == F.col("end")) & (F.col("_h") == F.col("sha256"))
-    over = batch.join(s, hit).groupBy(key, "start", "end").agg(F.bool_and(same).alias("_same"))
+    ranges = batch.select(key, "start", "end", "sha256")
+    met = overlap_join(ranges, s.withColumnRenamed("_k", key), key, ("start", "end"), ("_s", "_e"), CELL)
+    over = met.groupBy(key, "start", "end").agg(F.bool_and(same).alias("_same"))
     heads = stored.groupBy(key).agg(F.max("end").alias("_head"))
     j = batch.join(over, [key, "start", "end"], "left").join(heads, key, "left")
     outcome = F.when(F.col("_same"), "replayed").when(F.col("_same").isNotNull(), "conflict").when(F.coalesce("_head", F.lit(0)) == F.col("start"), "accepted").otherwise("gap")

@@ -15,7 +15,8 @@ from ..plans.store import shared_dir
 from ..queries import query, table
 from ..ship import ship
 
-#: Characters of an open turn that state may hold; a longer one is closed as a policy disposition.
+#: Characters of an open turn that state may hold: the message that goes beyond closes it, as a policy disposition, and what
+#: follows is a turn of its own.
 MOST_CHARS = 4_000_000
 SEAL = "seal"
 
@@ -47,6 +48,9 @@ def _assemble(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             text = f"{text}\n{words or ''}"
         last, n = turn, n + 1
         asked, answered = asked or role == "user", answered or role == "assistant"
+        if len(text) > MOST_CHARS:
+            close()
+            n, text = 0, ""
     state.update((run, first, last, n, asked, answered, text))
     yield pd.DataFrame(out, columns=["conv_id", "run", "first_turn", "last_turn", "n", "kind", "digest"])
 
@@ -55,7 +59,8 @@ def assemble(stream: DataFrame) -> DataFrame:
     """Finished turns of a stream of messages (conv_id, turn, role, text), in order for each conversation.
 
     A turn ends where the next user message or a seal (role `seal`) comes; what a seal finds unfinished becomes a span.
-    State is one open turn for each conversation.
+    State is one open turn for each conversation, of MOST_CHARS characters and one message at most. Messages of a micro-batch are
+    put in order; one that comes in a later batch than its successor is appended where it comes.
     """
     return stream.groupBy("conv_id").applyInPandasWithState(_assemble, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 

@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata import catalog
 from lodestrata.functions import lowering
@@ -81,8 +82,8 @@ def test_resolve_is_exact_without_a_cap(spark):
             at, hops = n, 0
             while at in target and hops <= 50:
                 at, hops = target[at], hops + 1
-            stuck = at in target or (cap is not None and hops > cap)
-            want[n] = (None, None, True) if stuck else (at, hops, False)
+            far = cap is not None and hops > cap
+            want[n] = (None, None, True) if at in target else (None if far else at, hops, False)
         got = {r["node"]: (r["resolved"], r["hops"], r["is_cycle"]) for r in graph.resolve(frame, spark.createDataFrame([(n,) for n in nodes], "node long"), cap).collect()}
         assert got == want
 
@@ -120,7 +121,7 @@ def test_results_page_reuse_and_conflict(spark, tmp_path):
     run = results.Run(spark, f"file://{tmp_path}")
     df = spark.range(120).select((F.col("id") * 7 % 120).alias("k"), F.repeat(F.lit("x"), 20).alias("v"))
     saved = run.commit("s", "f", df, ["k"])
-    assert run.commit("s", "f", df, ["k"]) is saved
+    assert run.commit("s", "f", df, ["k"]) == saved
     with pytest.raises(results.ResultError, match="idempotency_conflict"):
         run.commit("s", "g", df, ["k"])
     other = run.commit("t", "f", df.orderBy(F.desc("k")), ["k"])
@@ -132,6 +133,14 @@ def test_results_page_reuse_and_conflict(spark, tmp_path):
             break
         page = run.next_page(page.cursor)
     assert seen == list(range(120))
+    # another process with the same root: pages, cursors and steps are there; another owner's are not
+    cursor, later = run.page(saved).cursor, results.Run(spark, f"file://{tmp_path}")
+    assert later.result(saved.result_id) == saved and [r["k"] for r in later.next_page(cursor).rows] == list(range(50, 100))
+    assert later.commit("s", "f", df, ["k"]) == saved
+    with pytest.raises(results.ResultError, match="unavailable"):
+        results.Run(spark, f"file://{tmp_path}", "someone else")
+    with pytest.raises(results.ResultError, match="invalid_request"):
+        later.next_page("../run")
     assert len(run.page(saved, most_bytes=200).rows) < 50
     with pytest.raises(results.ResultError, match="budget_exhausted"):
         run.commit("u", "f", df, ["k"], most_bytes=10)
@@ -145,14 +154,14 @@ def test_results_page_reuse_and_conflict(spark, tmp_path):
         run.commit("z", "f", df, ["k"])
 
 
-def test_checkpoints_compare_and_swap():
-    log = results.Checkpoints(keep=2)
+def test_checkpoints_compare_and_swap(spark, tmp_path):
+    log = results.Checkpoints(spark, f"file://{tmp_path}/log", keep=2)
     first = log.append(None, "a")
     with pytest.raises(results.ResultError):
         log.append(None, "b")
     second = log.append(first, "b")
     log.append(second, "c")
-    assert log.read(second) == "b"
+    assert log.read(second) == "b" and results.Checkpoints(spark, f"file://{tmp_path}/log").head() == log.head()
     with pytest.raises(results.ResultError):
         log.read(first)
 
@@ -337,3 +346,62 @@ def test_intermediate_folders_are_shared_and_deleted(spark, tmp_path):
     import os
 
     assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_overlaps_of_any_length_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(21)
+    spans = lambda n: [(rng.randint(0, 2), s, s + rng.choice([0, 1, 3, 9, 10, 11, 50, 1000, 10**9])) for s in (rng.randint(0, 300) for _ in range(n))]
+    left, right = spans(60), spans(50)
+    a = spark.createDataFrame([(*r, i) for i, r in enumerate(left)], "k int, ls long, le long, i int")
+    b = spark.createDataFrame([(*r, i) for i, r in enumerate(right)], "k int, rs long, re long, j int")
+    got = sorted((r["i"], r["j"]) for r in temporal.overlap_join(a, b, "k", ("ls", "le"), ("rs", "re"), 10).collect())
+    want = sorted((i, j) for i, (k, s, e) in enumerate(left) for j, (m, t, u) in enumerate(right) if k == m and s < e and t < u and s < u and t < e)
+    assert got == want
+
+
+def test_numbers_within_a_group_span_partitions(spark):
+    rows = [("hot" if i % 10 else None, (i * 7919) % 5000) for i in range(5000)]
+    got = temporal.numbered_within(spark.createDataFrame(rows, "g string, o long").repartition(5), "g", "o", "n").collect()
+    for g in ("hot", None):
+        own = sorted((r["o"], r["n"]) for r in got if r["g"] == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1)) and len(own) == sum(x == g for x, _ in rows)
+
+
+def test_slices_of_long_spans_lose_nothing(spark):
+    text = "é" * 10 + "x" * 95
+    df = spark.createDataFrame([(1, text, 5, 100), (2, text, 7, 7)], "k long, text string, start long, end long")
+    got = [tuple(r) for r in results.own_slices(df, "k", 40).orderBy("start").collect()]
+    assert got == [(1, s, min(s + 40, 100), text[s : min(s + 40, 100)]) for s in (5, 45, 85)]
+
+
+def test_digests_of_digests(spark, tmp_path, monkeypatch):
+    run, df = results.Run(spark, f"file://{tmp_path}"), spark.range(300).withColumnRenamed("id", "k")
+    monkeypatch.setattr(results, "BLOCK", 7)
+    first = run.commit("a", "f", df, ["k"])
+    assert first.digest == run.commit("b", "f", df.repartition(5), ["k"]).digest != run.commit("c", "f", df.filter("k <> 150"), ["k"]).digest
+    assert first.n_rows == 300
+
+
+def test_grants_hold_on_every_relation(spark):
+    known = catalog.relations()
+
+    def rows(name, *values):
+        schema = known[name].schema
+        return spark.createDataFrame([tuple(v.get(f.name, {"bigint": 1, "boolean": True}.get(f.dataType.simpleString(), "x" if f.dataType.simpleString() == "string" else None)) for f in schema) for v in values], T.StructType([T.StructField(f.name, f.dataType) for f in schema]))
+
+    frame = {
+        "observations": rows("observations", *({"bead_version_id": f"v{i}", "event_id": f"e{i}"} for i in (1, 2))),
+        "statements": rows("statements", *({"statement_id": f"s{i}", "bead_version_id": f"v{i}"} for i in (1, 2))),
+        "assessed_relations": rows("assessed_relations", *({"relation_id": f"r{a}{b}", "source_bead_version_id": f"v{a}", "target_bead_version_id": f"v{b}"} for a, b in ((1, 1), (1, 2)))),
+        "relation_statements": rows("relation_statements", *({"relation_id": r, "statement_id": r} for r in ("r11", "r12"))),
+        "relation_types": rows("relation_types", {"type_key": "t"}),
+    }
+    grants = spark.createDataFrame([("e1",)], "event_id string")
+    views = catalog.register(spark, frame, grants=grants, checked=False)
+    seen = {n: sorted(r[known[n].keys[0]] for r in v.collect()) for n, v in views.items()}
+    assert seen == {"observations": ["v1"], "statements": ["s1"], "assessed_relations": ["r11"], "relation_statements": ["r11"], "relation_types": ["t"]}
+    assert set(known) == catalog.SCOPED | catalog.OPEN | set(catalog.VIA)
+    with pytest.raises(catalog.PopulationError, match="observations"):
+        catalog.register(spark, {"statements": frame["statements"]}, grants=grants, checked=False)
