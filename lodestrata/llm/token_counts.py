@@ -81,23 +81,66 @@ def write_flat(df: DataFrame, path: str, pattern: str, separator: int, id_column
 def read_flat(spark: SparkSession, path: str, block: int = BLOCK, dtype: str = "<u2") -> DataFrame:
     """Blocks (file, block, tokens) of binary files of ids, in any store that Spark reads; file is a hash of the path.
 
-    A file is read by one task and must be under 2 GB, as Spark's binary files are (a larger one is an error); larger ones come
-    in parts. A file whose last id is not whole is an error.
+    Files of any length are read in Spark's own splits, by many tasks: as lines of raw bytes, cut at the byte 10 wherever it
+    is, whose lengths give every split its place in the file. An id that two splits or pieces share is put together from the
+    piece's last bytes and the first of the next. A file whose last id is not whole is an error, as is one that changes
+    meanwhile. Without any file there is an error, as Spark gives it; empty files have no blocks.
     """
-    step = block * np.dtype(dtype).itemsize
+    size = np.dtype(dtype).itemsize
+    step = block * size
+    lines = spark.read.option("lineSep", "\n").text(path)
+    meta = F.col("_metadata")
+    lines = lines.select(F.col("value").cast("binary").alias("value"), F.xxhash64(meta["file_path"]).alias("file"), meta["file_block_start"].alias("split"), meta["file_size"].alias("size"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of a split in order, each with its place there and the bytes after it that an id may need."""
+        held, key, at, number = bytearray(), None, 0, 0
+
+        def pieces(last: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, at, number
+            while len(held) >= step + size or last and held:
+                own, more = bytes(held[: step + size - 1]), min(step, len(held))
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((key[0], pa.int64()), (key[1], pa.int64()), (key[2], pa.int64()), (number, pa.int64()), (at, pa.int64()), (more, pa.int64()), (own, pa.binary()))], names=names)
+                del held[:more]
+                at, number = at + more, number + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("file").to_pylist(), batch.column("content"), strict=True):
-                data = memoryview(content.as_buffer())
-                end = len(data)
-                if end % np.dtype(dtype).itemsize:
-                    raise ValueError(f"a flat file of {end} bytes ends inside of an id")
-                for k, at in enumerate(range(0, end, step)):
-                    yield pa.RecordBatch.from_arrays([pa.array([file], pa.int64()), pa.array([k], pa.int64()), pa.array([bytes(data[at : min(at + step, end)])], pa.binary())], names=["file", "block", "tokens"])
-
-    files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
-    return files.mapInArrow(run, "file long, block long, tokens binary")
+            for value, *now in zip(batch.column("value"), *(batch.column(c).to_pylist() for c in ("file", "split", "size")), strict=True):
+                if key != now:
+                    yield from pieces(True)
+                    key, at, number = now, 0, 0
+                held += value.as_buffer()
+                held += b"\n"
+                yield from pieces(False)
+        yield from pieces(True)
+
+    names = ["file", "split", "size", "number", "at", "n", "bytes"]
+    parts = stored(lines.mapInArrow(cut, "file long, split long, size long, number long, at long, n long, bytes binary"))
+    # one row for each split: where its bytes begin, how many pieces are before it, and the bytes that it begins with
+    splits = parts.groupBy("file", "split").agg(F.sum("n").alias("length"), F.count("*").alias("pieces"), F.max("size").alias("size"), F.min_by(F.substring("bytes", 1, size - 1), "number").alias("head"))
+    ahead = Window.partitionBy("file").orderBy("split")
+    before = ahead.rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    splits = stored(splits.withColumns({"base": F.coalesce(F.sum("length").over(before), zero), "first": F.coalesce(F.sum("pieces").over(before), zero), "next": F.lead("head").over(ahead)}))
+    # the last line's end counts one byte that the file need not have
+    files = splits.groupBy("file").agg(F.max("size").alias("size"), F.sum("length").alias("length"))
+    wrong = files.filter((F.col("size") % size != 0) | ~(F.col("length") - F.col("size")).isin(0, 1)).first()
+    if wrong is not None:
+        raise ValueError(f"a flat file of {wrong['size']} bytes ends inside of an id" if wrong["size"] % size else "a flat file has changed while it was read")
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for start, n, total, own, following in zip(*(batch.column(c).to_pylist() for c in ("start", "n", "size", "bytes", "next")), strict=True):
+                data = (own + (following or b""))[: total - start]  # of a split's last piece the next split has the bytes after it
+                first = -start % size
+                ids = max(0, -(-(min(n, total - start) - first) // size))
+                out.append(data[first : first + ids * size])
+            yield pa.RecordBatch.from_arrays([batch.column("file"), batch.column("block"), pa.array(out, pa.binary())], names=["file", "block", "tokens"])
+
+    placed = parts.join(splits.select("file", "split", "base", "first", "next"), ["file", "split"])
+    placed = placed.select("file", (F.col("first") + F.col("number")).alias("block"), (F.col("base") + F.col("at")).alias("start"), "n", "size", "bytes", F.when(F.length("bytes") == F.col("n"), F.col("next")).alias("next"))
+    return placed.mapInArrow(align, "file long, block long, tokens binary")
 
 
 def separator_scan(blocks: DataFrame, separator: int, dtype: str = "<u2", span: int = SPAN) -> DataFrame:

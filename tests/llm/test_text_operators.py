@@ -215,17 +215,40 @@ def test_token_counts_equal_the_encoder(documents, rows):
 def test_flat_files_are_scanned(llm_spark, tmp_path):
     rng = np.random.default_rng(3)
     tokens = rng.integers(0, 9, 1000).astype("<u2")
-    (tmp_path / "a.bin").write_bytes(tokens.tobytes() + b"x")
+    (tmp_path / "a.bin").write_bytes(tokens.tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
     got = token_counts.separator_scan(token_counts.read_flat(llm_spark, f"file://{tmp_path}/*.bin", 64), 0).filter("complete").orderBy("ordinal").collect()
     ends = np.flatnonzero(tokens == 0)
     assert [r["n_tokens"] + 1 for r in got] == np.diff(np.concatenate(([-1], ends))).tolist()
 
 
+@pytest.mark.parametrize("dtype", ["<u2", "<u4"])
+def test_flat_files_are_read_in_splits(llm_spark, tmp_path, dtype):
+    """Every token once, whatever bytes 10 and 13 there are and wherever Spark splits."""
+    rng = np.random.default_rng(4)
+    files = {"a": rng.integers(0, 30, 20_001), "b": np.full(3000, 0x0A0A), "c": rng.integers(0, 65536, 7000), "d": np.array([10]), "e": np.array([], int), "f": np.full(500, 0x0D0D)}
+    for name, tokens in files.items():
+        (tmp_path / f"{name}.bin").write_bytes(tokens.astype(dtype).tobytes())
+    before = llm_spark.conf.get("spark.sql.files.maxPartitionBytes")
+    llm_spark.conf.set("spark.sql.files.maxPartitionBytes", "999")
+    llm_spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = token_counts.read_flat(llm_spark, f"file://{tmp_path}/*.bin", 64, dtype).collect()
+    finally:
+        llm_spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        llm_spark.conf.unset("spark.sql.files.openCostInBytes")
+    by = defaultdict(list)
+    for r in got:
+        by[r["file"]].append((r["block"], bytes(r["tokens"])))
+    for own in by.values():
+        assert sorted(k for k, _ in own) == list(range(len(own)))
+    assert Counter(b"".join(t for _, t in sorted(own)) for own in by.values()) == Counter(t.astype(dtype).tobytes() for t in files.values() if len(t))
+
+
 def test_an_odd_tail_of_a_flat_file_is_an_error(llm_spark, tmp_path):
     (tmp_path / "odd.bin").write_bytes(b"\0\1\2")
-    with pytest.raises(Exception, match="ends inside of an id"):
-        token_counts.read_flat(llm_spark, f"file://{tmp_path}/odd.bin").count()
+    with pytest.raises(ValueError, match="ends inside of an id"):
+        token_counts.read_flat(llm_spark, f"file://{tmp_path}/odd.bin")
 
 
 def test_token_counts_of_nothing(documents):
