@@ -1,6 +1,6 @@
 """Sharding by sampled splitters, with DataFrame functions only.
 
-Records are ordered by (hash of text, id): equal texts lie together, and yet a text with any number of copies can be divided.
+Records are ordered by (hash of text, hash of id, place): equal texts lie together, whatever files they come from, and yet a text with any number of copies can be divided.
 A sample of keys, drawn with a chance in proportion to size, gives quantile boundaries of many ranges; a range that turns out
 to hold far more records than its share is subdivided by boundaries sampled from it. Ranges are the unit of parallel work: each is
 sorted on its own, and offsets of whole ranges (a bounded number) make the running sum of bytes global. A record goes to the
@@ -23,17 +23,17 @@ def _longs(values: list[int]) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
-def _range_of(splitters: list[tuple[int, int]]) -> Column:
-    """How many of the sorted splitters are at most the key (hash, row), by binary search over literal arrays."""
+def _range_of(splitters: list[tuple[int, int, int]]) -> Column:
+    """How many of the sorted splitters are at most the key (hash, tie, row), by binary search over literal arrays."""
     n = len(splitters)
     if not n:
         return F.lit(0)
-    hashes, rows = _longs([h for h, _ in splitters]), _longs([r for _, r in splitters])
+    hashes, ties, rows = (_longs(list(x)) for x in zip(*splitters))
     steps = _longs([1 << k for k in reversed(range(n.bit_length()))]).cast("array<int>")
 
     def go(at: Column, step: Column) -> Column:
-        h = F.get(hashes, at + step - 1)
-        passed = (h < F.col("hash")) | ((h == F.col("hash")) & (F.get(rows, at + step - 1) <= F.col("row")))
+        h, t = F.get(hashes, at + step - 1), F.get(ties, at + step - 1)
+        passed = (h < F.col("hash")) | ((h == F.col("hash")) & ((t < F.col("tie")) | ((t == F.col("tie")) & (F.get(rows, at + step - 1) <= F.col("row")))))
         return F.when((at + step <= n) & passed, at + step).otherwise(at)
 
     return F.aggregate(steps, F.lit(0), go)
@@ -42,7 +42,7 @@ def _range_of(splitters: list[tuple[int, int]]) -> Column:
 def _splitters(df: DataFrame, ranges: int, samples: int, rate: Column) -> list[tuple]:
     """Quantile boundaries of a sample of keys that takes a record at a chance of `rate`; the driver gets about ranges * samples keys."""
     chance = F.pmod(F.xxhash64("row", F.lit("splitters")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    keys = sorted({tuple(r) for r in df.filter(chance < rate).select("hash", "row").collect()})
+    keys = sorted({tuple(r) for r in df.filter(chance < rate).select("hash", "tie", "row").collect()})
     return sorted({keys[len(keys) * i // ranges] for i in range(1, ranges)}) if keys else []
 
 
@@ -52,11 +52,13 @@ def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_colum
     size is the UTF-8 bytes of the text (null: none, with the CRC of no bytes) plus `overhead`. The law is `bytes`: the
     shards' sums of size are as near equal as whole records allow. grown_shard is null under this law. Rows with equal or
     null ids and equal texts are told apart by their place in the input. Other columns are not read. An empty table gives an
-    empty result. Slots follow the order of (hash of text, row).
+    empty result. Slots follow the order of (hash of text, hash of id, place in the input); only rows that are equal in id and
+    text can change places when files are laid out anew. Equal texts are neighbours in that order, in one shard or in
+    adjoining ones: a group may be larger than a shard's share.
     """
     data = F.encode(F.coalesce(F.col(text_column), F.lit("")), "utf-8")
     id_ = F.col(id_column)
-    rows = df.select(id_.alias("id"), (F.length(data) + overhead).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("hash"))
+    rows = df.select(id_.alias("id"), (F.length(data) + overhead).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("hash"), F.xxhash64(id_).alias("tie"))
     # row: a key's last part, unique, and the same whenever the stored table is read
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()))
     total = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
@@ -73,8 +75,8 @@ def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_colum
         rate = F.coalesce(*[F.when(F.col("range") == k, F.lit(p * SAMPLES / over[k])) for k, p in pieces.items()])
         chance = F.pmod(F.xxhash64("row", F.lit("subdivide")), F.lit(1 << 53)) / F.lit(float(1 << 53))
         sample: dict[int, list] = {}
-        for r in counted.filter(F.col("range").isin(list(over)) & (chance < rate)).select("range", "hash", "row").collect():
-            sample.setdefault(r["range"], []).append((r["hash"], r["row"]))
+        for r in counted.filter(F.col("range").isin(list(over)) & (chance < rate)).select("range", "hash", "tie", "row").collect():
+            sample.setdefault(r["range"], []).append((r["hash"], r["tie"], r["row"]))
         for k, keys in sample.items():
             keys.sort()
             first += [keys[len(keys) * i // pieces[k]] for i in range(1, pieces[k])]
@@ -88,7 +90,7 @@ def shard(df: DataFrame, shards: int = 24, id_column: str = "doc_id", text_colum
         at_byte, at_row = at_byte + r["bytes"], at_row + r["n"]
     bytes_before, rows_before = (F.get(_longs(list(x)), F.col("range")) for x in zip(*starts))
 
-    order = Window.partitionBy("range").orderBy("hash", "row")
+    order = Window.partitionBy("range").orderBy("hash", "tie", "row")
     before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = ranged.withColumns({"before": before, "nth": F.row_number().over(order) - 1})
     middle = bytes_before + F.col("before") + F.col("size") / 2
