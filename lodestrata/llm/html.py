@@ -309,7 +309,7 @@ def extract(df: DataFrame, id_column: str = "page_id", url_column: str = "url",
     asked = Bloom.of(stored(pages.select("host", "html").mapInArrow(ask, "hash long")), "hash")
     some_ask = bool(asked.words.any())
     # on a host of fewer pages no sentence of content can be common
-    many = Bloom.of(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select(F.xxhash64("host").alias("hash")), "hash")
+    many = Bloom.of(stored(pages.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= SHARED).select(F.xxhash64("host").alias("hash"))), "hash")
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "html"):

@@ -1,7 +1,7 @@
 """Media columns: payloads stored as content-defined chunks, each chunk once, and rebuilt from ordered chunk lists.
 
 Rolling gear hash cuts divide a medium (here: 8-bit mono WAV) into chunks. A first pass keeps only digests; Spark counts
-them, and the digests that occur more than once fill a Bloom filter of fixed size. A second pass writes media: chunks that
+them, and the digests that occur more than once fill a Bloom filter of bounded size. A second pass writes media: chunks that
 occur once stay in their medium's row, in order; the others go, once from each task, to the chunk table, which Spark
 deduplicates by digest. Media whose chunks are all their own are rebuilt where they are read; only the rest join the chunk
 table. A false find of the filter merely sends a chunk the second way. Every chunk read is verified against its digest.
@@ -128,7 +128,7 @@ def store(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -
     kind = df.schema[id_column].dataType.simpleString()
     rows = stored(docs.mapInArrow(_recipes, f"id {kind}, n_bytes long, recipe binary, digests array<binary>"))
     repeated = rows.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1")
-    shared = Bloom.of(repeated.select(_head("digest").alias("head")), "head")
+    shared = Bloom.of(stored(repeated.select(_head("digest").alias("head"))), "head")
     staged = stored(docs.select("text").mapInArrow(_store(shared), "kind string, key binary, parts array<struct<digest:binary,data:binary>>"), partition_by=["kind"])
     chunks = staged.filter("kind = 'chunk'").select(F.col("key").alias("digest"), F.col("parts")[0]["data"].alias("data")).dropDuplicates(["digest"])
     return rows.drop("digests"), staged.filter("kind <> 'chunk'"), stored(chunks)
