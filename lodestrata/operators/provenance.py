@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans import dialect, lineage, results
+from ..plans import dialect, graph, lineage, results
 from ..plans.store import shared_dir
 from ..queries import query, table
+from .derivations import _paths, anchors, edges
 
 
 def _root(spark: SparkSession) -> str:
@@ -121,9 +122,17 @@ def source_slices(spark: SparkSession, d: str) -> DataFrame:
 
 @query("closure_recheck", "SELECT n_regionkey, count(*) AS n, true AS unchanged FROM nation GROUP BY n_regionkey")
 def closure_recheck(spark: SparkSession, d: str) -> DataFrame:
-    """A manifest built again must be the same bag of rows."""
-    build = lambda: table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    return build().withColumn("unchanged", F.lit(results.same_rows(build(), build())))
+    """A sealed result is shown only if what it rests on is still there, built anew at its own time."""
+    rests = lambda cutoff: table(spark, d, "nation").select("n_nationkey", "n_regionkey")
+    run = results.Run(spark, _root(spark))
+    found = table(spark, d, "nation").groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    saved = run.commit("step", "fingerprint", found, ["n_regionkey"], depends=rests(None))
+    run.recheck(saved, rests)
+    try:
+        run.recheck(saved, lambda cutoff: rests(cutoff).filter("n_nationkey <> 3"))
+    except results.ResultError:
+        return run.rows(saved).select("n_regionkey", "n", F.lit(True).alias("unchanged"))
+    raise AssertionError("a missing dependency has not been noticed")
 
 
 @query("dialect_query", """
@@ -137,3 +146,25 @@ def dialect_query(spark: SparkSession, d: str) -> DataFrame:
         WITH per(k, n) AS (SELECT o_custkey AS k, count(*) AS n FROM dialect_orders WHERE o_orderstatus = :status GROUP BY o_custkey HAVING count(*) > :least)
         SELECT c.c_custkey, per.n, rank() OVER (PARTITION BY c.c_nationkey ORDER BY per.n DESC) AS r FROM per JOIN dialect_customer AS c ON c.c_custkey = per.k"""
     return dialect.run(spark, sql, {"status": "F", "least": 3}, {"dialect_orders", "dialect_customer"})
+
+
+@query("lineage_walk", _paths(False).replace("SELECT node, depth, array_to_string(path, '>') AS path, is_cycle FROM p", """, g AS (SELECT path, depth, is_cycle, count(*) AS copies FROM p GROUP BY ALL),
+u AS (SELECT path, depth, is_cycle, copies, unnest(range(0, len(path))) AS visit FROM g)
+SELECT array_to_string(path, '>') AS path, CAST(visit AS INT) AS visit, CASE WHEN visit = 0 THEN 'seed' ELSE 'step' END AS kind, path[visit + 1] AS node, is_cycle AND visit = depth AS is_cycle, copies FROM u"""))
+def lineage_walk(spark: SparkSession, d: str) -> DataFrame:
+    """Steps of a bounded walk as witnesses."""
+    paths = graph.walk_paths(edges(spark, d), anchors(spark, d), 4)
+    named = paths.select(lineage.reference(F.lit("walk"), F.col("path")).alias("row_ref"), F.array_join(F.col("path").cast("array<string>"), ">").alias("path")).distinct()
+    return lineage.walk_steps(paths).join(named, "row_ref").select("path", "visit", "kind", "node", "is_cycle", "copies")
+
+
+@query("lineage_json", """
+SELECT c_custkey, '{"operations":[{"op":"scan"},{"op":"join"},{"op":"group"}],"sources":[{"relation":"customer","side":"member","n":' || n || '},{"relation":"orders","side":"member","n":' || n || '}]}' AS provenance
+FROM (SELECT c_custkey, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey)""")
+def lineage_json(spark: SparkSession, d: str) -> DataFrame:
+    """Published provenance of the groups of a join (V2, V3, V7, V13), here without its digests."""
+    o = lineage.project(lineage.scan(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "orders", ["o_orderkey"]), [F.col("o_custkey").alias("c_custkey")])
+    c = lineage.scan(table(spark, d, "customer").select("c_custkey"), "customer", ["c_custkey"])
+    g, _ = lineage.group(lineage.join(c, o, ["c_custkey"]), ["c_custkey"], [F.count("*").alias("n")])
+    told = lineage.published(g, ["scan", "join", "group"])
+    return g.rows.select("row_ref", "c_custkey").join(told, "row_ref").select("c_custkey", F.regexp_replace("provenance", ',"keys":"[0-9a-f]{64}"', "").alias("provenance"))

@@ -92,3 +92,56 @@ def exists_bag(outer: DataFrame, inner: DataFrame, on: list[str]) -> DataFrame:
     """V5, V6: for each outer row the number of inner matches; 0 is a searched absence."""
     counts = inner.groupBy(*on).agg(F.count("*").alias("matches"))
     return outer.join(counts, on, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+
+
+def project(t: Traced, columns: list[Column | str]) -> Traced:
+    """V2: chosen columns; every row keeps its witnesses, and no row is lost or made."""
+    return Traced(t.rows.select("row_ref", *columns), t.witnesses)
+
+
+def scalar(outer: DataFrame, inner: DataFrame, on: list[str], column: str) -> DataFrame:
+    """V6: for each outer row the inner value and the number of inner rows; more than one is an error."""
+    found = inner.groupBy(*on).agg(F.count("*").alias("matches"), F.first(column).alias(column))
+    joined = outer.join(found, on, "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+    return joined.withColumn(column, F.when(F.col("matches") > 1, F.raise_error(F.lit("more than one row in a scalar subquery"))).otherwise(F.col(column)))
+
+
+def walk_steps(paths: DataFrame) -> DataFrame:
+    """For walked rows (node, depth, path, is_cycle) each step as a witness: row_ref, step, visit, kind, node, is_cycle.
+
+    kind is `seed` for a path's first node and `step` behind it; is_cycle flags the step that came back. Equal paths, which a
+    bag may hold, are told apart by `copies`.
+    """
+    same = paths.groupBy("path", "depth", "is_cycle").agg(F.count("*").alias("copies"))
+    rows = same.withColumn("row_ref", reference(F.lit("walk"), F.col("path")))
+    steps = rows.select("row_ref", "copies", "depth", F.col("is_cycle").alias("_cycle"), F.posexplode("path").alias("visit", "node"))
+    return steps.select("row_ref", "visit", F.when(F.col("visit") == 0, "seed").otherwise("step").alias("kind"), "node", (F.col("_cycle") & (F.col("visit") == F.col("depth"))).alias("is_cycle"), "copies")
+
+
+def limited(n_rows: int, limit: int | None, offset: int | None, order: list[tuple[str, bool, bool]]) -> dict:
+    """What a limit was, what it ordered by, and what decided between rows that the order leaves equal."""
+    keys = [{"column": c, "direction": "asc" if up else "desc", "nulls": "first" if first else "last"} for c, up, first in order]
+    return {"op": "limit", "limit": limit, "offset": offset or 0, "order": keys, "tie_basis": "witness_ordinal", "rows": n_rows}
+
+
+#: The operations that a published provenance may name.
+OPERATIONS = ("scan", "filter", "project", "join", "group", "distinct", "exists", "set", "window", "recursion", "limit")
+
+
+def published(t: Traced, operations: list[str]) -> DataFrame:
+    """For each row (row_ref) its provenance as JSON: the operations in order, and how many sources of each relation and side.
+
+    Sources are counted by relation and side, and named by one digest of their keys in order, so that no row's JSON grows
+    with its sources.
+    """
+    if unknown := [o for o in operations if o not in OPERATIONS]:
+        raise ValueError(f"no such operation: {unknown[0]}")
+    # digests of keys add up in any order: no task gathers a group's keys
+    h = F.conv(F.substring(F.sha2("key", 256), 1, 8), 16, 10).cast("decimal(38,0)") * F.col("multiplicity")
+    sums = t.witnesses.groupBy("row_ref", "relation", "side").agg(F.sum("multiplicity").alias("n"), F.sum(h).cast("string").alias("keys"))
+    sources = F.sort_array(F.collect_list(F.struct("relation", "side", "n", F.sha2("keys", 256).alias("keys"))))
+    got = sums.groupBy("row_ref").agg(sources.alias("sources"))
+    whole = t.rows.select("row_ref").join(got, "row_ref", "left")
+    empty = F.array().cast("array<struct<relation:string,side:string,n:bigint,keys:string>>")
+    listed = F.array(*[F.struct(F.lit(o).alias("op")) for o in operations])
+    return whole.select("row_ref", F.to_json(F.struct(listed.alias("operations"), F.coalesce("sources", empty).alias("sources"))).alias("provenance"))

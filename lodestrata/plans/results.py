@@ -7,8 +7,9 @@ import hashlib
 import json
 import re
 import threading
+import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 from typing import Any
 
@@ -21,6 +22,8 @@ from .store import get, names, put, remove, stored
 BLOCK = 4096
 #: Rows and UTF-8 bytes of a page, and bytes of a result at most.
 PAGE_ROWS, PAGE_BYTES, RESULT_BYTES = 50, 256 * 1024, 64 * 1024 * 1024
+#: A run's lifetime in seconds, its accesses and the bytes it delivers at most; open runs, delivered and kept bytes of a workspace.
+LIFETIME, ACCESSES, TRANSPORT, OPEN_RUNS, WORKSPACE_TRANSPORT, RETAINED = 1800, 128, 16 << 20, 2, 256 << 20, 512 << 20
 
 
 class ResultError(Exception):
@@ -66,6 +69,9 @@ class Result:
     n_rows: int
     n_bytes: int
     columns: list[str]
+    #: The columns of the rows' dependencies, if these were sealed with them, and their time.
+    depends: list[str] | None = None
+    cutoff: str | None = None
 
 
 @dataclass
@@ -81,15 +87,35 @@ class Run:
     Another process that opens the same root as the same owner goes on with it. Only pages come to the driver.
     """
 
-    def __init__(self, spark: SparkSession, root: str, owner: str = "local"):
+    def __init__(self, spark: SparkSession, root: str, owner: str = "local", lifetime: float = LIFETIME, accesses: int | None = None, transport: int | None = None):
         self.spark, self.root, self.owner = spark, root, owner
+        self.accesses, self.transport = accesses, transport
         self.seen: set[str] = set()
-        if not put(spark, f"{root}/run.json", json.dumps({"owner": owner})) and json.loads(get(spark, f"{root}/run.json"))["owner"] != owner:
+        own = {"owner": owner, "ends": time.time() + lifetime}
+        if not put(spark, f"{root}/run.json", json.dumps(own)):
+            own = json.loads(get(spark, f"{root}/run.json"))
+        if own["owner"] != owner:
             raise ResultError("unavailable", "the run is another owner's")
+        self.ends = own["ends"]
 
     @property
     def closed(self) -> bool:
-        return get(self.spark, f"{self.root}/closed") is not None
+        """Whether the run is closed or past its lifetime."""
+        return time.time() > self.ends or get(self.spark, f"{self.root}/closed") is not None
+
+    def counters(self) -> dict[str, int]:
+        """How often results and pages were asked for, and the bytes that pages have delivered, in all processes."""
+        sizes = [int(n.split("-")[0]) for n in names(self.spark, f"{self.root}/accesses")]
+        kept = [self.result(n.removesuffix(".json")).n_bytes for n in names(self.spark, f"{self.root}/results") if n.endswith(".json")]
+        return {"accesses": len(sizes), "transport": sum(sizes), "results": len(kept), "retained": sum(kept)}
+
+    def _spend(self, n_bytes: int) -> None:
+        """Count an access; refused where the run's budgets would be passed."""
+        if self.accesses is not None or self.transport is not None:
+            before = self.counters()
+            if self.accesses is not None and before["accesses"] >= self.accesses or self.transport is not None and before["transport"] + n_bytes > self.transport:
+                raise ResultError("budget_exhausted", "run")
+        put(self.spark, f"{self.root}/accesses/{n_bytes}-{uuid.uuid4().hex}", "")
 
     def result(self, result_id: str) -> Result:
         """A sealed result of this run, whichever process sealed it."""
@@ -111,8 +137,11 @@ class Run:
             raise ResultError("idempotency_conflict", step)
         return self.result(before["result_id"])
 
-    def commit(self, step: str, fingerprint: str, df: DataFrame, order: list[str], most_bytes: int = RESULT_BYTES) -> Result:
-        """Seal the rows in a total order. The same step with the same fingerprint gives the same result again."""
+    def commit(self, step: str, fingerprint: str, df: DataFrame, order: list[str], most_bytes: int = RESULT_BYTES, depends: DataFrame | None = None, cutoff: str | None = None) -> Result:
+        """Seal the rows in a total order. The same step with the same fingerprint gives the same result again.
+
+        `depends` is the bag of what the rows rest on, as of the time `cutoff`; it is sealed with them.
+        """
         if self.closed:
             raise ResultError("unavailable", "the run is closed")
         if (before := self._repeated(step, fingerprint)) is not None:
@@ -135,8 +164,13 @@ class Run:
         n_bytes, n_rows = sum(r["b"] for r in sums), sum(r["n"] for r in sums)
         if n_bytes > most_bytes:
             raise ResultError("budget_exhausted", f"{n_bytes} bytes")
-        digest = hashlib.sha256(json.dumps({"columns": df.dtypes, "blocks": [r["h"] for r in sums]}, sort_keys=True).encode()).hexdigest()
-        result = Result(uuid.uuid4().hex, path, digest, n_rows, n_bytes, df.columns)
+        sealed: dict[str, Any] = {"columns": df.dtypes, "blocks": [r["h"] for r in sums]}
+        if depends is not None:
+            depends.write.parquet(f"{path}/depends")
+            sealed["depends"] = bag_digest(self.spark.read.parquet(f"{path}/depends"))
+        digest = hashlib.sha256(json.dumps(sealed, sort_keys=True).encode()).hexdigest()
+        result = Result(uuid.uuid4().hex, path, digest, n_rows, n_bytes, df.columns, depends.columns if depends is not None else None, cutoff)
+        self._spend(0)
         put(self.spark, f"{self.root}/results/{result.result_id}.json", json.dumps(asdict(result)))
         if not put(self.spark, self._step(step), json.dumps({"result_id": result.result_id, "fingerprint": fingerprint})):
             return self._repeated(step, fingerprint)  # another process has been faster
@@ -145,8 +179,20 @@ class Run:
     def rows(self, result: Result) -> DataFrame:
         return self.spark.read.parquet(f"{result.path}/rows").drop("_body")
 
-    def page(self, result: Result, first: int = 1, n: int = PAGE_ROWS, most_bytes: int = PAGE_BYTES) -> Page:
-        """Rows first to first + n - 1, fewer if they don't fit; never part of a row. The SQL isn't run again."""
+    def recheck(self, result: Result, rebuild: Callable[[str | None], DataFrame]) -> None:
+        """Refuse a result as a whole unless what it rests on, built anew at its own cutoff, is the same bag."""
+        if result.depends is None:
+            raise ResultError("invalid_request", "the result has no dependencies")
+        if not same_rows(self.spark.read.parquet(f"{result.path}/depends"), rebuild(result.cutoff).select(*result.depends)):
+            raise ResultError("unavailable", "dependency")
+
+    def page(self, result: Result, first: int = 1, n: int = PAGE_ROWS, most_bytes: int = PAGE_BYTES, rebuild: Callable[[str | None], DataFrame] | None = None) -> Page:
+        """Rows first to first + n - 1, fewer if they don't fit; never part of a row. The SQL isn't run again.
+
+        With `rebuild` the dependencies are checked before anything is shown.
+        """
+        if rebuild is not None:
+            self.recheck(result, rebuild)
         if not 1 <= n <= PAGE_ROWS:
             raise ResultError("invalid_request", "page size")
         got = self.spark.read.parquet(f"{result.path}/rows").filter(F.col("row_ref").between(first, first + n - 1)).orderBy("row_ref").collect()
@@ -158,6 +204,7 @@ class Run:
             rows.append({c: r[c] for c in result.columns})
         if got and not rows:
             raise ResultError("budget_exhausted", f"row {first} doesn't fit a page")
+        self._spend(sum(len(r["_body"].encode()) for r in got[: len(rows)]))
         after = first + len(rows)
         cursor = None
         if after <= result.n_rows:
@@ -189,7 +236,13 @@ class Run:
         """Delete the files of a closed run's results; its digests stay known. Returns how many results went."""
         if not self.closed:
             raise ResultError("invalid_request", "the run is open")
-        return sum(remove(self.spark, self.result(name.removesuffix(".json")).path) for name in names(self.spark, f"{self.root}/results") if name.endswith(".json"))
+        gone = 0
+        for name in names(self.spark, f"{self.root}/results"):
+            if name.endswith(".json"):
+                result = self.result(name.removesuffix(".json"))
+                put(self.spark, f"{self.root}/tombstones/{name}", json.dumps({"digest": result.digest, "n_rows": result.n_rows}))
+                gone += remove(self.spark, result.path)
+        return gone
 
 
 class Checkpoints:
@@ -226,6 +279,38 @@ class Checkpoints:
         raise ResultError("unavailable", "no such checkpoint")
 
 
+class Workspace:
+    """A folder of runs, with budgets over all of them."""
+
+    def __init__(self, spark: SparkSession, root: str, open_runs: int = OPEN_RUNS, transport: int = WORKSPACE_TRANSPORT, retained: int = RETAINED):
+        self.spark, self.root = spark, root
+        self.most = {"open": open_runs, "transport": transport, "retained": retained}
+
+    def runs(self) -> list[Run]:
+        found = []
+        for name in names(self.spark, self.root):
+            own = get(self.spark, f"{self.root}/{name}/run.json")
+            if own is not None:
+                found.append(Run(self.spark, f"{self.root}/{name}", json.loads(own)["owner"]))
+        return found
+
+    def start(self, owner: str = "local", lifetime: float = LIFETIME) -> Run:
+        """A new run, refused where too many are open or the budgets of delivered or kept bytes are spent."""
+        runs = self.runs()
+        sums = {"open": sum(not r.closed for r in runs) + 1, **{k: sum(r.counters()[k] for r in runs) for k in ("transport", "retained")}}
+        if over := [k for k, n in sums.items() if n > self.most[k]]:
+            raise ResultError("budget_exhausted", f"workspace: {', '.join(over)}")
+        return Run(self.spark, f"{self.root}/{uuid.uuid4().hex}", owner, lifetime, ACCESSES, TRANSPORT)
+
+    def expire(self, most: int = 100) -> int:
+        """Purge closed runs and those past their lifetime, `most` in one batch; tombstones stay. Returns how many went."""
+        due = [r for r in self.runs() if r.closed and get(self.spark, f"{r.root}/purged") is None][:most]
+        for r in due:
+            r.purge()
+            put(self.spark, f"{r.root}/purged", "")
+        return len(due)
+
+
 @contextlib.contextmanager
 def deadline(spark: SparkSession, seconds: float) -> Iterator[None]:
     """Cancel the jobs that are started inside if they take longer; the query then fails as a whole."""
@@ -249,6 +334,14 @@ def visible(df: DataFrame, grants: DataFrame, scope: str) -> DataFrame:
     return df.join(grants.select(scope).distinct(), scope, "left_semi")
 
 
+def bag_digest(df: DataFrame) -> str:
+    """One digest of a bag of rows, whatever their order: sums of pieces of each row's digest, which add up in any order."""
+    h = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)]), {"ignoreNullFields": "false"}), 256)
+    pieces = [F.sum(F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("decimal(38,0)")).cast("string").alias(f"p{i}") for i in range(8)]
+    row = df.agg(F.count("*").cast("string").alias("n"), *pieces).first()
+    return hashlib.sha256(",".join(x or "0" for x in row).encode()).hexdigest()
+
+
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Whether two manifests hold the same bag of rows."""
     return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()

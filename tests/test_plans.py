@@ -405,3 +405,38 @@ def test_grants_hold_on_every_relation(spark):
     assert set(known) == catalog.SCOPED | catalog.OPEN | set(catalog.VIA)
     with pytest.raises(catalog.PopulationError, match="observations"):
         catalog.register(spark, {"statements": frame["statements"]}, grants=grants, checked=False)
+
+
+def test_runs_have_budgets_lifetimes_and_tombstones(spark, tmp_path):
+    place = results.Workspace(spark, f"file://{tmp_path}/w")
+    run = place.start()
+    saved = run.commit("s", "f", spark.range(5).withColumnRenamed("id", "k"), ["k"], depends=spark.range(3).withColumnRenamed("id", "on"))
+    assert run.page(saved, rebuild=lambda cutoff: spark.range(3).withColumnRenamed("id", "on")).rows == [{"k": i} for i in range(5)]
+    with pytest.raises(results.ResultError, match="dependency"):
+        run.page(saved, rebuild=lambda cutoff: spark.range(2).withColumnRenamed("id", "on"))
+    assert run.counters()["accesses"] == 2 and run.counters()["results"] == 1 and run.counters()["transport"] > 0
+    few = results.Run(spark, run.root, accesses=2)
+    with pytest.raises(results.ResultError, match="budget_exhausted"):
+        few.page(saved)
+    place.start()
+    with pytest.raises(results.ResultError, match="open"):
+        place.start()
+    run.close()
+    over = results.Run(spark, f"file://{tmp_path}/w/late", lifetime=-1)
+    assert over.closed and place.expire() == 2 and place.expire() == 0
+    from lodestrata.plans import store
+
+    assert store.names(spark, f"{run.root}/tombstones") == [f"{saved.result_id}.json"] and not store.names(spark, saved.path)
+    rows = spark.range(50)
+    assert results.bag_digest(rows.repartition(7)) == results.bag_digest(rows) != results.bag_digest(rows.filter("id <> 7"))
+
+
+def test_scalar_subqueries_have_one_row(spark):
+    from lodestrata.plans import lineage
+
+    outer, inner = spark.range(3).withColumnRenamed("id", "k"), spark.createDataFrame([(0, "a"), (1, "b")], "k long, v string")
+    got = {r["k"]: (r["v"], r["matches"]) for r in lineage.scalar(outer, inner, ["k"], "v").collect()}
+    assert got == {0: ("a", 1), 1: ("b", 1), 2: (None, 0)}
+    with pytest.raises(Exception, match="more than one row"):
+        lineage.scalar(outer, inner.unionByName(inner), ["k"], "v").collect()
+    assert lineage.limited(7, 7, None, [("n", False, True)])["order"] == [{"column": "n", "direction": "desc", "nulls": "first"}]
