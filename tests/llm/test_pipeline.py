@@ -49,3 +49,36 @@ def test_language_stage_rejects_what_is_in_no_language(llm_spark):
     planted = planted.select(*[(F.col(c) if c in planted.columns else F.lit(None)).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
     kept = {r["doc_id"] for r in corpus_pipeline.language_filter(llm_spark, docs.unionByName(planted), d).select("doc_id").collect()}
     assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def odd_documents(spark, rows):
+    """Documents with nulls in any column, repeated ids and rows, and columns of other tables beside."""
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({"row_": F.lit("z"), "hash_": F.lit(5), "id": F.lit("x"), "label": F.lit(1), "key": F.lit("k")})
+
+
+def test_stages_on_odd_rows_and_on_none(llm_spark, tmp_path):
+    story = "the quick brown fox jumps over the lazy dog near the river bank at dawn while birds sing loudly above"
+    rows = [(1, story, "en", "a", 10), (1, story, "en", "a", 10), (None, story, None, None, None), (2, None, "en", "b", None), (3, "", None, "b", 0), (4, story + " again", "en", "c", 1), (None, None, None, None, None), (5, "123 !", "de", "d", 5)]
+    llm_spark.createDataFrame([(1, 1, 0), (None, 1, 1), (1, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/odd/labels.parquet")
+    llm_spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    # exact: the story, none, the longer story, 123; near: both stories are one, and each text without words is alone
+    kept = {"toxicity": 8, "language": 4, "exact": 4, "near": 5, "packing": 8}
+    for name, stage in c.STAGES:
+        out = stage(llm_spark, odd_documents(llm_spark, rows), f"{tmp_path}/odd").collect()
+        assert len(out) == kept[name], name
+        empty = stage(llm_spark, odd_documents(llm_spark, []), f"{tmp_path}/none")
+        assert empty.count() == 0 and (name == "packing" or tuple(empty.columns) == c.COLUMNS)
+    toxic = odd_documents(llm_spark, [(7, "you idiot, you stupid worthless moron, I will kill you.", None, None, None), (8, story, None, None, None)])
+    assert [r["doc_id"] for r in c.toxicity_filter(llm_spark, toxic, f"{tmp_path}/none").collect()] == [8]
+
+
+def test_run_leaves_only_what_its_result_reads(llm_spark, sf_dir):
+    from lodestrata.plans.store import release, written
+
+    before = written(llm_spark)
+    out = c.run(llm_spark, sf_dir)
+    new = [p for p in written(llm_spark) if p not in before]
+    assert out.count() > 0 and release(llm_spark, new) == len(new)

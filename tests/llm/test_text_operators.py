@@ -162,6 +162,21 @@ def test_best_fit_never_overfills(lengths):
         assert at == fill <= 64
 
 
+def test_final_bins_are_of_no_use_to_others():
+    """What a node makes final, no bin that it passes up can be put into, and none of its final bins fit into each other."""
+    rng = random.Random(31)
+    for hosts in (0, 2, 16):
+        for _ in range(40):
+            fills = sorted((rng.randint(1, 100) for _ in range(rng.randint(1, 60))), reverse=True)
+            into, _, filled = packing.best_fit(np.array(fills, np.int64), 100)
+            low = sorted(filled)
+            small = sum(2 * f <= 100 for f in low)
+            final = low[small + hosts :]
+            # best fit leaves no two bins that fit together, so a bin over half full can only host one of at most half
+            assert all(a + b > 100 for i, a in enumerate(low) for b in low[i + 1 :])
+            assert small <= 1 and all(2 * f > 100 for f in final)
+
+
 def check_packed(got, capacity):
     at = defaultdict(list)
     for r in got:
@@ -635,6 +650,28 @@ def test_language_on_held_out_documents(llm_spark):
     assert len(pairs) > 1000 and sum(r["lang"] == r["lang_pred"] for r in pairs) >= 0.99 * len(pairs)
 
 
+# ---- texts of over a slice
+
+
+def test_one_text_of_several_slices(documents):
+    """A text of 3 MB, three slices long, is whole in every operator: against what is computed at once."""
+    rng = random.Random(2)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(520_000))
+    assert len(long) > 2 * (1 << 20)
+    rows = [(1, long), (2, long + " x"), (3, long), (4, "short")]
+    got = {r["doc_id"]: r for r in exact_dedup.deduplicate(documents(rows)).collect()}
+    assert (got[3]["keep_id"], got[3]["group_size"], got[2]["keep_id"]) == (1, 2, 2) and got[1]["text_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(documents(rows)).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    ids = Tokenizer.from_file(WORDS).encode(long, add_special_tokens=False).ids
+    assert {bytes(r["ids"]) for r in bpe.encode_decode(documents(rows[:1]), WORDS).collect()} == {np.array(ids, "<u4").tobytes()}
+    assert {(r["n_bytes"], r["payload_sha256"]) for r in media.media_columns(documents(rows[:1])).collect()} == {(len(long), hashlib.sha256(long.encode() + bytes(-len(long) % 64)).hexdigest())}
+    blocks, manifest = token_counts.write_flat(documents(rows[:1]), BYTES, public_tokenizers.PATTERN, 50256)
+    (found,) = token_counts.separator_scan(blocks, 50256).collect()
+    assert found["complete"] and blocks.count() == -(-(found["n_tokens"] + 1) // token_counts.BLOCK)
+    packed = packing.pack_documents(documents(rows[:1]), WORDS).collect()
+    assert sum(r["length"] for r in packed) == len(ids) + 1 and sorted(r["piece"] for r in packed) == list(range(len(packed)))
+
+
 # ---- common
 
 
