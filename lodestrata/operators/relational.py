@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.lowering import bool_extreme, exact_avg, exact_sum, int_div, lower_ascii, to_int8, trunc_utc, upper_ascii, with_in_truth
+from ..plans.results import with_ordinal
+from ..plans.store import shared_dir
 from ..queries import query, table
 
 
@@ -256,11 +258,11 @@ def limit_offset(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("nulls_order", """
-SELECT doc_id, toxic FROM (SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) ORDER BY toxic ASC NULLS LAST, doc_id LIMIT 60""")
+SELECT row_number() OVER (ORDER BY toxic ASC NULLS LAST, doc_id) AS place, doc_id, toxic FROM (SELECT d.doc_id, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""")
 def nulls_order(spark: SparkSession, d: str) -> DataFrame:
-    """Ascending order puts nulls last (O1); a visible key breaks ties (O3)."""
+    """Ascending order puts nulls last (O1); a visible key breaks ties (O3). Every row has its place in that order."""
     j = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id", "left")
-    return j.orderBy(F.col("toxic").asc_nulls_last(), "doc_id").limit(60)
+    return with_ordinal(j, ["toxic", "doc_id"], shared_dir(spark)).withColumnRenamed("row_ref", "place")
 
 
 @query("fn_text", "SELECT n_nationkey, upper(n_name) AS up, lower(n_name) AS low FROM nation")

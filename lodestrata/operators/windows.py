@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.lowering import filtered_over
+from ..plans.results import with_ordinal
+from ..plans.store import shared_dir
 from ..queries import query, table
 
 
@@ -93,11 +95,12 @@ def win_over_group(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("running", F.sum("n").over(Window.partitionBy("c_mktsegment").orderBy("n", "c_nationkey").rowsBetween(Window.unboundedPreceding, 0)))
 
 
-@query("win_order_only", "SELECT o_orderkey FROM orders WHERE o_totalprice > 3000 ORDER BY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) DESC, o_orderkey LIMIT 40")
+@query("win_order_only", "SELECT row_number() OVER (ORDER BY k DESC, o_orderkey) AS place, o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) AS k FROM orders WHERE o_totalprice > 3000)")
 def win_order_only(spark: SparkSession, d: str) -> DataFrame:
-    """A window that only orders."""
+    """A window that only orders (W12): every row's place in that order, without the window's own column."""
     w = Window.partitionBy("o_orderpriority").orderBy("o_totalprice", "o_orderkey")
-    return table(spark, d, "orders").filter("o_totalprice > 3000").withColumn("_k", F.row_number().over(w)).orderBy(F.desc("_k"), "o_orderkey").limit(40).select("o_orderkey")
+    keyed = table(spark, d, "orders").filter("o_totalprice > 3000").select("o_orderkey", (-F.row_number().over(w)).alias("_k"))
+    return with_ordinal(keyed, ["_k", "o_orderkey"], shared_dir(spark)).select(F.col("row_ref").alias("place"), "o_orderkey")
 
 
 @query("win_validity", """
