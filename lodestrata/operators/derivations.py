@@ -196,6 +196,27 @@ def claim_state(spark: SparkSession, d: str) -> DataFrame:
     return j.select("claim", F.when(F.col("gone"), "retracted").when(F.col("over"), "superseded").when(F.col("open"), "disputed").otherwise("current").alias("state"))
 
 
+@query("relation_state", f"""
+WITH ev AS ({_CLAIMS}), claims AS (SELECT claim FROM ev UNION SELECT related FROM ev),
+gone AS (SELECT DISTINCT claim FROM ev WHERE action = 'retract'),
+over AS (SELECT DISTINCT related AS claim FROM ev WHERE action = 'supersede' AND claim NOT IN (SELECT claim FROM gone)),
+pairs AS (SELECT claim, related, max(ts) FILTER (WHERE action = 'dispute') AS disputed, max(ts) FILTER (WHERE action = 'resolve') AS resolved FROM ev GROUP BY ALL),
+open AS (SELECT DISTINCT claim FROM pairs WHERE disputed IS NOT NULL AND (resolved IS NULL OR resolved <= disputed)),
+ends AS (SELECT claim, max(ts) AS told FROM ev WHERE action = 'assert' GROUP BY claim), moved AS (SELECT related AS claim, max(ts) AS at FROM ev WHERE action = 'supersede' GROUP BY related),
+pending AS (SELECT DISTINCT p.claim FROM pairs p JOIN moved m ON m.claim = p.related LEFT JOIN ends e ON e.claim = p.claim WHERE e.told IS NULL OR e.told <= m.at)
+SELECT c.claim, CASE WHEN c.claim IN (SELECT claim FROM gone) THEN 'retracted' WHEN c.claim IN (SELECT claim FROM over) THEN 'superseded' WHEN c.claim IN (SELECT claim FROM open) THEN 'disputed'
+       WHEN c.claim IN (SELECT claim FROM pending) THEN 'reassessment_pending' ELSE 'active' END AS state FROM claims c""")
+def relation_state(spark: SparkSession, d: str) -> DataFrame:
+    """A relation whose end was corrected after it was last asserted waits for reassessment, unless worse holds."""
+    ev = claim_events(spark, d)
+    told = ev.filter("action = 'assert'").groupBy("claim").agg(F.max("ts").alias("told"))
+    moved = ev.filter("action = 'supersede'").groupBy("related").agg(F.max("ts").alias("at"))
+    late = ev.select("claim", "related").distinct().join(moved, "related").join(told, "claim", "left").filter("told IS NULL OR told <= at")
+    pending = late.select("claim", F.lit(True).alias("pending")).distinct()
+    j = claim_state(spark, d).join(pending, "claim", "left")
+    return j.select("claim", F.when(F.col("state") != "current", F.col("state")).when(F.col("pending"), "reassessment_pending").otherwise("active").alias("state"))
+
+
 @query("relation_projection", f"""
 WITH ev AS ({_CLAIMS}), agg AS (SELECT claim, bool_or(action = 'retract') AS gone, bool_or(action = 'dispute') AS pending, string_agg(event_id || ':' || action, ',' ORDER BY event_id) AS log FROM ev GROUP BY claim)
 SELECT claim, CASE WHEN gone THEN 'retracted' ELSE 'active' END AS state, sha256('{{"claim":' || claim || ',"events":"' || log || '"}}') AS head_token,

@@ -169,3 +169,30 @@ def population_typing(spark: SparkSession, d: str) -> DataFrame:
     keys = c.groupBy("conv_id", "turn").count().filter("count > 1").agg(F.lit("duplicate_key").alias("fault"), F.count("*").alias("n"))
     both = c.agg(F.count_if(~F.col("role").isin("user", "assistant", "system")).alias("unknown_role"), F.count_if(F.col("text").isNull()).alias("missing_text"))
     return keys.unionByName(both.unpivot([], ["unknown_role", "missing_text"], "fault", "n"))
+
+
+@query("fold_commit", """
+WITH c AS (SELECT conv_id, turn, octet_length(encode(text)) AS n, sum(octet_length(encode(text))) OVER (PARTITION BY conv_id ORDER BY turn) AS hi FROM conversations),
+k AS (SELECT conv_id, turn, hi - n AS lo, hi FROM c WHERE n > 0 AND NOT (conv_id % 5 = 0 AND turn = 1)),
+j AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY conv_id ORDER BY turn), 0) = lo AS joined, NOT (conv_id % 7 = 0 AND turn = 2) AS sound FROM k)
+SELECT conv_id, bool_and(joined) AND bool_and(sound) AS commit, CASE WHEN NOT bool_and(joined) THEN 'gap' WHEN NOT bool_and(sound) THEN 'hash' END AS reason,
+       CAST(CASE WHEN bool_and(joined) AND bool_and(sound) THEN max(hi) ELSE 0 END AS BIGINT) AS "cursor" FROM j GROUP BY conv_id""")
+def fold_commit(spark: SparkSession, d: str) -> DataFrame:
+    """Outcomes are committed when they are contiguous and hold what their digests say, and move the cursor."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.encode("text", "utf-8").alias("data")).filter(F.length("data") > 0)
+    end = F.sum(F.length("data").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
+    c = c.withColumn("end", end).withColumn("start", F.col("end") - F.length("data"))
+    spoiled = F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 2), "").otherwise(F.sha2("data", 256))
+    outcomes = c.filter("NOT (conv_id % 5 = 0 AND turn = 1)").withColumn("sha256", spoiled)
+    return framing.fold_commit(outcomes, "conv_id")
+
+
+#: Parts of a batch of complete input at most.
+PARTS = 8
+
+
+def part_batch(df: DataFrame, order: list[str], after: tuple, n: int = PARTS) -> DataFrame:
+    """The next parts of complete input behind a key, PARTS at most."""
+    if not 1 <= n <= PARTS:
+        raise ValueError(f"a batch has 1 to {PARTS} parts")
+    return keyset_page(df, order, after, None, n)

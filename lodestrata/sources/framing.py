@@ -71,3 +71,22 @@ def completed(chunks: DataFrame, keys: list[str], declared: str) -> DataFrame:
     g = chunks.withColumn("_joined", joined).groupBy(*keys).agg(F.bool_and("_joined").alias("_all"), F.count("*").alias("n_chunks"), ordered.alias("_text"), F.max(declared).alias("_hash"))
     done = F.col("_all") & (F.sha2("_text", 256) == F.col("_hash"))
     return g.select(*keys, done.alias("complete"), "n_chunks", F.when(done, F.col("_text")).alias("text"))
+
+
+def fold_commit(outcomes: DataFrame, key: str, cursors: DataFrame | None = None) -> DataFrame:
+    """Whether the outcomes of each source (key, start, end, data, sha256) can be committed as a whole: T9.
+
+    They must continue at the source's cursor (key, cursor; 0 without one), follow each other without gap or overlap, and hold
+    the bytes that their digests declare. Gives the key, commit, reason (`gap` or `hash`; null if all is well) and the cursor
+    after it: moved to the last end, or left where it was. An outcome that lies wholly before the cursor is a repeat and changes
+    nothing.
+    """
+    at = F.coalesce("cursor", F.lit(0).cast("long")).alias("_at")
+    rows = outcomes.select(key, "start", "end", (F.sha2("data", 256) == F.col("sha256")).alias("_sound"))
+    rows = rows.join(cursors.select(key, "cursor"), key, "left").select(key, "start", "end", "_sound", at) if cursors is not None else rows.withColumn("_at", F.lit(0).cast("long"))
+    new = F.col("end") > F.col("_at")
+    before = Window.partitionBy(key).orderBy("start", "end")
+    joined = F.coalesce(F.max(F.when(new, F.col("end"))).over(before.rowsBetween(Window.unboundedPreceding, -1)), F.col("_at")) == F.col("start")
+    got = rows.withColumn("_joined", ~new | joined).groupBy(key).agg(F.bool_and("_joined").alias("_whole"), F.bool_and("_sound").alias("_sound"), F.max("end").alias("_end"), F.max("_at").alias("_at"))
+    fine = F.col("_whole") & F.coalesce("_sound", F.lit(False))
+    return got.select(key, fine.alias("commit"), F.when(~F.col("_whole"), "gap").when(~fine, "hash").alias("reason"), F.when(fine, F.greatest("_end", "_at")).otherwise(F.col("_at")).cast("long").alias("cursor"))
