@@ -22,6 +22,7 @@ _UPPER, _LOWER = string.ascii_uppercase, string.ascii_lowercase
 _NULLS = re.compile(r"\bnulls\s+(first|last)\s*$", re.I)
 _ANY = re.compile(r"([A-Za-z_][\w.]*)\s*=\s*any\s*\(\s*:([A-Za-z_]\w*)\s*\)", re.I)
 _CYCLE = re.compile(r"\)\s*cycle\s+(\w+)\s+set\s+(\w+)\s+using\s+(\w+)", re.I)
+_TABLE = re.compile(r"\btable\s+$", re.I)
 _INTEGERS = frozenset("ByteType ShortType IntegerType LongType".split())
 Span = tuple[int, int]
 
@@ -337,11 +338,27 @@ class Recursion:
     guards: tuple[str, ...] = ()
 
 
+def _readers(plan: Any, name: str, own: Any, aliased: bool = False) -> Iterator[tuple[Span, bool]]:
+    """Where a plan reads a relation, and whether an alias follows there; the CTE `own` is left out."""
+    if name_of(plan) == "UnresolvedRelation" and list(seq(plan.multipartIdentifier())) == [name]:
+        yield _own_span(plan), aliased
+    ctes = [c._2() for c in seq(plan.cteRelations())] if name_of(plan) == "UnresolvedWith" else []
+    for p in [*seq(plan.children()), *(c for c in ctes if not c.equals(own))]:
+        yield from _readers(p, name, own, name_of(plan) in ("SubqueryAlias", "UnresolvedSubqueryColumnAliases"))
+    todo = list(seq(plan.expressions()))
+    while todo:
+        e = todo.pop()
+        todo += seq(e.children())
+        for p in _subqueries(e):
+            yield from _readers(p, name, own)
+
+
 def guarded(sql: str, plan: Any, rule: Recursion, cycle: Cycle | None) -> str:
     """The recursive CTE with its guards put in: the depth bound, the given predicates, and a path that ends at a cycle.
 
     A row is flagged when its node already stands on its own path; flagged rows are kept and not followed. The shape of the
-    CTE has been checked: columns named, a seed and one arm with a WHERE.
+    CTE has been checked: columns named, a seed and one arm with a WHERE. The depth alone ends the recursion: wherever it is
+    read, LIMIT ALL lifts the million rows after which Spark gives up.
     """
     text = _Text(sql)
     (cte,) = [c for c in seq(plan.cteRelations()) if c._1() == rule.cte]
@@ -370,6 +387,12 @@ def guarded(sql: str, plan: Any, rule: Recursion, cycle: Cycle | None) -> str:
         close = sql.index(")", _own_span(cte._2())[0])
         edits.append((close, close, f", {cycle.flag}, {cycle.path}"))
     edits.append((a, b, " AND ".join(guards)))
+    for (a, b), aliased in _readers(plan, rule.cte, cte._2()):
+        whole, alone = f"(SELECT * FROM {rule.cte} LIMIT ALL)", _TABLE.search(sql, 0, a)
+        if alone:  # TABLE p
+            edits.append((alone.start(), b, f"SELECT * FROM {whole} AS {rule.cte}"))
+        else:
+            edits.append((a, b, whole if aliased else f"{whole} AS {rule.cte}"))
     for a, b, new in sorted(edits, reverse=True):
         sql = sql[:a] + new + sql[b:]
     return sql

@@ -279,6 +279,24 @@ def test_dialect_recursion(garden, spark):
         garden(walk.format("", ""), {"a": [*range(17)], "most": 3}, recursion=Recursion("w", "depth", "node", 3))
 
 
+@pytest.fixture(scope="module")
+def fans(spark):
+    """Walks of four depths from 0, with 1 + 110 + 110**2 + 110**3 rows: more than a million."""
+    rungs = spark.range(110).selectExpr("explode(sequence(0L, 2L)) AS src")
+    rungs.selectExpr("src", "src + 1 AS dst").createOrReplaceTempView("fan")
+    spark.sql("SELECT 0L AS node").createOrReplaceTempView("start")
+    return 1 + 110 + 110**2 + 110**3
+
+
+@pytest.mark.parametrize("read", ["SELECT node FROM p", "SELECT q.x FROM p AS q(x, y) ORDER BY q.y", "SELECT r.node FROM (SELECT p.node FROM p) AS r", ", z AS (TABLE p) SELECT z.node FROM z"])
+def test_dialect_recursion_has_no_row_limit(fans, spark, read):
+    from lodestrata.plans.lowered import Recursion
+
+    walk = "WITH RECURSIVE p(node, depth) AS (SELECT node AS node, 0 AS depth FROM start UNION ALL SELECT f.dst AS node, p.depth + 1 AS depth FROM p JOIN fan AS f ON f.src = p.node WHERE p.depth < :most)"
+    sql = walk + " " * (read[0] != ",") + read
+    assert dialect.run(spark, sql, {"most": 4}, {"fan", "start"}, recursion=Recursion("p", "depth", "node", 4)).count() == fans
+
+
 def test_dialect_limits_and_anchors(spark):
     sql = "SELECT o_custkey FROM orders ORDER BY o_custkey LIMIT :n OFFSET :m"
     found = dialect.admit(spark, sql, {"n": 5, "m": 2}, {"orders"})

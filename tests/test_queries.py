@@ -43,3 +43,24 @@ def test_entry(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+@pytest.fixture(scope="module")
+def crowd(spark, tmp_path_factory):
+    """Errors of eight users, each of which points to the ones before and after it: walks of more than a million rows."""
+    path = str(tmp_path_factory.mktemp("crowd"))
+    e = spark.range(72_000).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01' AS ts", "id % 8 AS user_id", "'error' AS event_type", "1D AS value", "'{}' AS props")
+    e.write.parquet(f"{path}/events.parquet")
+    return path
+
+
+WALKS = {"dialect_walk": "rec_paths"}
+
+
+@pytest.mark.parametrize("name", sorted(WALKS))
+def test_walks_have_no_row_limit(spark, crowd, name):
+    digest = lambda df: df.selectExpr("count(*)", "sum(CAST(xxhash64(node, depth, path, is_cycle) AS decimal(38, 0)))").first()
+    got = digest(core.QUERIES[name](spark, crowd))
+    # 15 from each node, 1 + 2 + 4 + 4 + 4, but for the ends of chains
+    assert 1_000_000 < got[0] < 15 * 72_000
+    assert got == digest(core.QUERIES[WALKS[name]](spark, crowd))
