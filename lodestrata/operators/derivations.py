@@ -278,12 +278,15 @@ query("rec_paths_reverse", _paths(True))(_walk(True))
 
 @query("rec_paths_sql", _paths(False))
 def rec_paths_sql(spark: SparkSession, d: str) -> DataFrame:
-    """The same walk as one recursive SQL query with a path array in place of a cycle clause."""
+    """The same walk as one recursive SQL query with a path array in place of a cycle clause.
+
+    LIMIT ALL, so that Spark doesn't give up after a million rows (C13); the depth ends the walk.
+    """
     return spark.sql("""
         WITH RECURSIVE p(node, depth, path, is_cycle) AS (
           SELECT node, 0, array(node), false FROM {a}
           UNION ALL SELECT e.dst, depth + 1, concat(path, array(e.dst)), array_contains(path, e.dst) FROM p JOIN {e} e ON e.src = p.node WHERE NOT is_cycle AND depth < 4)
-        SELECT node, depth, array_join(CAST(path AS ARRAY<STRING>), '>') AS path, is_cycle FROM p""", e=edges(spark, d), a=anchors(spark, d))
+        SELECT node, depth, array_join(CAST(path AS ARRAY<STRING>), '>') AS path, is_cycle FROM p LIMIT ALL""", e=edges(spark, d), a=anchors(spark, d))
 
 
 @query("transitive_corrections", f"""

@@ -54,7 +54,7 @@ def crowd(spark, tmp_path_factory):
     return path
 
 
-WALKS = {"dialect_walk": "rec_paths", "dialect_walk_reverse": "rec_paths_reverse"}
+WALKS = {"dialect_walk": "rec_paths", "dialect_walk_reverse": "rec_paths_reverse", "rec_paths_sql": "rec_paths"}
 
 
 @pytest.mark.parametrize("name", sorted(WALKS))
