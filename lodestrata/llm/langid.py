@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_SLICE, text_slices
+from .common import SMALL_SLICE, stored, text_slices
 
 UNDETERMINED = "und"
-#: N-grams of a profile, and documents of a language that profiles are learned from at most.
-PROFILE, TRAINING = 300, 4000
+#: N-grams of a profile.
+PROFILE = 300
 #: Distinct n-grams from which on a text's distance is judged; documents that a floor of scores is learned from at least.
 JUDGED, FLOOR_ROWS = 32, 100
 
@@ -117,22 +117,27 @@ class Profiles:
         return [self.languages[b] if c else UNDETERMINED for b, c in zip(best.tolist(), n.tolist(), strict=True)], np.where(n > 0, score, 0.0).tolist(), n.tolist()
 
 
-def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", length: int = PROFILE, most: int = TRAINING) -> Profiles:
-    """Profiles from labelled rows: of each language about `most` distinct texts at most, drawn by a hash of the text.
-
-    Copies of a text count once, and every language with a text has a profile. Rows with a null language or text are
-    left out. The driver gets `length` n-grams a language. Without rows there are no profiles, and everything is predicted as undetermined.
-    """
-    rows = df.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
+def _drawn(rows: DataFrame, most: int) -> DataFrame:
+    """About `most` distinct texts of each language at most, drawn by a hash of the text."""
     hashed = rows.withColumn("hash", F.pmod(F.xxhash64("text", F.lit("profiles")), F.lit(1 << 53)))
     # hashes alone are shuffled: each distinct text counts once, and the least hash of a language is always drawn
     distinct = hashed.select("lang", "hash").distinct()
     there = distinct.groupBy("lang").agg(F.count("*").alias("n"), F.min("hash").alias("least")).collect()
     if not there:
-        return Profiles([], [], [], length)
+        return rows
     bound = F.create_map(*[x for r in there for x in (F.lit(r["lang"]), F.lit(max(r["least"], int(min(1.0, most / r["n"]) * (1 << 53)))))])
     # at most about `most` texts of a language are shuffled as such; copies are dropped as they are read, then over all tasks
-    drawn = hashed.filter(F.col("hash") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "hash"])
+    return hashed.filter(F.col("hash") <= F.element_at(bound, F.col("lang"))).dropDuplicates(["lang", "hash"])
+
+
+def learn(df: DataFrame, lang_column: str = "lang", text_column: str = "text", length: int = PROFILE, most: int | None = None) -> Profiles:
+    """Profiles from all labelled rows; or, if `most` is given, from about so many distinct texts a language at most.
+
+    Copies of a text count once, and every language with a text has a profile. Rows with a null language or text are
+    left out. The driver gets `length` n-grams a language. Without rows there are no profiles, and everything is predicted as undetermined.
+    """
+    rows = df.select(F.col(lang_column).alias("lang"), F.col(text_column).alias("text")).dropna()
+    drawn = rows.distinct() if most is None else _drawn(rows, most)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=SMALL_SLICE):
@@ -191,26 +196,58 @@ def filter_rows(df: DataFrame, profiles: Profiles, text_column: str = "text", le
     return df.mapInArrow(run, df.schema)
 
 
-def floor(df: DataFrame, profiles: Profiles, most: int = TRAINING) -> float:
-    """A score below which a text is far outside of every language, from about `most` labelled rows (doc_id, lang, text).
+def floor(df: DataFrame, profiles: Profiles) -> float:
+    """A score below which a text is far outside of every language, from all labelled rows (lang, text).
 
     It lies as far below the score that all but a thousandth of them reach as that lies below their median; 0, which
     rejects nothing, without profiles or enough rows.
     """
-    rows = df.select("doc_id", "lang", "text").dropna(subset=["lang", "text"])
-    total = df.select("lang").dropna().count()
-    if not profiles.languages or not total:
+    if not profiles.languages:
         return 0.0
-    # by id and text, so that copies are drawn one by one
-    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit("floor")), F.lit(1 << 53)) / F.lit(float(1 << 53))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, budget=SMALL_SLICE):
             _, scores, n = profiles.measure(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([x for x, k in zip(scores, n, strict=True) if k >= JUDGED], pa.float64())], names=["score"])
 
-    got = rows.filter(chance < min(1.0, most / total)).select("text").mapInArrow(run, "score double").agg(F.count("*").alias("n"), F.expr("percentile(score, array(0.001, 0.5))").alias("q")).first()
-    return max(0.0, 2 * got["q"][0] - got["q"][1]) if got["n"] >= FLOOR_ROWS else 0.0
+    n, (low, middle) = quantiles(df.select("lang", "text").dropna().select("text").mapInArrow(run, "score double"), (0.001, 0.5))
+    return max(0.0, 2 * low - middle) if n >= FLOOR_ROWS else 0.0
+
+
+def quantiles(scores: DataFrame, parts: tuple[float, ...]) -> tuple[int, list[float]]:
+    """The number of scores (one column, from 0 to 1) and the values that these parts of them don't exceed, between two ranks in
+    proportion; zeros without any.
+
+    All scores are ranked, in steps of 2**-48, digit by digit: the driver gets at most 2**16 + 1 counts at a time.
+    """
+    codes = stored(scores.select(F.floor(F.col(scores.columns[0]) * F.lit(float(1 << 48))).alias("code")))
+    known: dict[tuple[int, int | None], list[tuple[int, int]]] = {}
+
+    def counts(shift: int, above: int | None) -> list[tuple[int, int]]:
+        if (shift, above) not in known:
+            rows = codes if above is None else codes.filter(F.shiftright("code", shift + 16) == above)
+            known[shift, above] = sorted(map(tuple, rows.groupBy(F.shiftright("code", shift).alias("digits")).count().collect()))
+        return known[shift, above]
+
+    def ranked_at(rank: int) -> float:
+        digits = None
+        for shift in (32, 16, 0):
+            for value, n in counts(shift, digits):
+                if rank < n:
+                    break
+                rank -= n
+            digits = value
+        return digits / (1 << 48)
+
+    total = sum(n for _, n in counts(32, None))
+    if not total:
+        return 0, [0.0] * len(parts)
+    out = []
+    for p in parts:
+        rank, beyond = divmod(p * (total - 1), 1)
+        low = ranked_at(int(rank))
+        out.append(low + beyond * (ranked_at(int(rank) + 1) - low) if beyond else low)
+    return total, out
 
 
 def held_out(id_column: str = "doc_id"):

@@ -1,6 +1,7 @@
 """Operators on documents against brute force: nulls, empty and long texts, repeated rows, clashing columns, empty tables."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -726,3 +727,25 @@ def test_profiles_are_learned_from_distinct_texts(llm_spark):
     got = langid.learn(df, most=2)
     aa = langid.learn(llm_spark.createDataFrame(sorted(set(rows[:4000])), "lang string, text string"))
     assert np.array_equal(got.codes[0], aa.codes[0]) and np.array_equal(got.ranks[0], aa.ranks[0])
+
+
+def test_profiles_and_floor_come_from_all_texts(llm_spark):
+    # 6000 texts, each of a word of its own; and as many of 12 words each, in more letters or fewer
+    words = ["".join(w) for w in itertools.islice(itertools.product("abcdefghijklmnopqrstuvwxyz", repeat=3), 6000)]
+    profiles = langid.learn(llm_spark.createDataFrame([("aa", w) for w in words], "lang string, text string"), length=100_000)
+    codes = np.unique(langid.grams(words)[1])
+    assert np.array_equal(profiles.codes[0], codes)
+    rng = random.Random(5)
+    rows = [("aa", " ".join("".join(rng.choices("abcdefghij"[: rng.randint(2, 10)], k=6)) for _ in range(12))) for _ in range(6000)]
+    profiles = langid.learn(llm_spark.createDataFrame(rows, "lang string, text string"))
+    _, scores, n = profiles.measure([t for _, t in rows])
+    low, middle = np.quantile([x for x, k in zip(scores, n, strict=True) if k >= langid.JUDGED], [0.001, 0.5])
+    df = llm_spark.createDataFrame([(i, *r) for i, r in enumerate(rows)] + [(-1, None, "zz"), (-2, "aa", None)], "doc_id bigint, lang string, text string")
+    assert abs(langid.floor(df, profiles) - max(0.0, 2 * low - middle)) < 1e-12 and 2 * low > middle
+
+
+def test_quantiles_by_brute_force(llm_spark):
+    for values in ([0.25], [1.0, 0.0], [0.5] * 7 + [0.5 + 1e-9] * 2 + [0.1, 1.0], [k / 977 for k in range(978)]):
+        n, got = langid.quantiles(llm_spark.createDataFrame([(x,) for x in values], "score double"), (0.0, 0.001, 0.5, 1.0))
+        assert n == len(values) and np.abs(np.quantile(values, [0.0, 0.001, 0.5, 1.0]) - got).max() < 1e-12
+    assert langid.quantiles(llm_spark.createDataFrame([], "score double"), (0.5,)) == (0, [0.0])
